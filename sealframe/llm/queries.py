@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, quality_ranker, quality_rules, token_counts
+from . import bpe, chat, html_extract, mixing, quality_ranker, quality_rules, token_counts
 from .common import table
 
 #: Rows of op10 over this many tokens are marked.
@@ -49,6 +49,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(events))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op8_chat": op8_chat,
+        "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -79,12 +84,12 @@ SELECT
     CAST(sum(CASE WHEN role = 'assistant' THEN length(body) ELSE 0 END) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(body, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(14 + length(role) + length(body)
-        + len(regexp_extract_all(body, '\|###|</turn>'))
-        + len(regexp_extract_all(role, '\|###|</turn>|:'))) AS BIGINT) AS formatted_chars
+        + len(regexp_extract_all(body, '\\|###|</turn>'))
+        + len(regexp_extract_all(role, '\\|###|</turn>|:'))) AS BIGINT) AS formatted_chars
 FROM texts
 GROUP BY conv_id
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": OP8_SQL}
+    return {"op8_chat": OP8_SQL, "op9_mixing": mixing.oracle_sql()}
