@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, mixing, quality_ranker, quality_rules, token_counts
+from . import bpe, chat, html_extract, line_templates, mixing, quality_ranker, quality_rules, token_counts
 from .common import table
 
 #: Rows of op10 over this many tokens are marked.
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
         "op2_quality": op2_quality,
+        "op3_line_templates": op3_line_templates,
         "op4_bpe": op4_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op8_chat": op8_chat,
@@ -92,4 +97,4 @@ GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": OP8_SQL, "op9_mixing": mixing.oracle_sql()}
+    return {"op3_line_templates": line_templates.oracle_sql(), "op8_chat": OP8_SQL, "op9_mixing": mixing.oracle_sql()}
