@@ -67,3 +67,22 @@ def batches_of(rows: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         step = max(1, min(batch.num_rows, batch.num_rows * most // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: Keys with one of so many parts of all rows, or more, are joined by broadcast.
+COMMON_PART = 2000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``counted`` on ``key``, which ``counted`` has once each, with its number of ``rows``.
+
+    Keys that have at least one of COMMON_PART parts of all rows number COMMON_PART at most, so they are
+    broadcast whatever the size of the data; the rows of all other keys are shuffled. No task gets
+    the rows of a common key.
+    """
+    total = counted.agg(F.sum(count).alias("_total"))
+    often = counted.join(F.broadcast(total), F.col(count) * COMMON_PART >= F.col("_total")).drop("_total")
+    marked = rows.join(F.broadcast(often.withColumn("_common", F.lit(True))), key, "left")
+    found = marked.where("_common").drop("_common")
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(counted, key)
+    return found.unionByName(rest.select(found.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, line_templates, mixing, quality_ranker, quality_rules, token_counts
+from . import bpe, chat, html_extract, line_templates, mixing, near_dup, quality_ranker, quality_rules, token_counts
 from .common import table
 
 #: Rows of op10 over this many tokens are marked.
@@ -41,6 +41,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_templates": op3_line_templates,
         "op4_bpe": op4_bpe,
         "op6_quality_rules": op6_quality_rules,
+        "op7_near_dup": op7_near_dup,
         "op8_chat": op8_chat,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
