@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, texts_of
+from .common import bound_batches, map_texts
 from .merging import PairTable, merge_all, ragged
 from .pretokenize import Pieces
 
 #: Pre-tokens kept in a worker's cache before it starts anew.
 CACHE_PIECES = 300_000
-#: Characters that are scanned together.
-SCAN_CHARS = 1 << 20
 #: Longer pre-tokens are merged with a heap.
 LONG_PIECE = 256
 
@@ -146,26 +144,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", decoded: bool = False, offsets: bool = False) -> DataFrame:
-    """Per row of ``docs``: its key, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit integers)
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, offsets: bool = False) -> DataFrame:
+    """Per row of ``docs``: the columns ``keep``, ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit integers)
     and, where asked for, ``decoded`` (the bytes that the ids stand for, decoded in the same pass) and
     ``offsets`` (binary, the byte offset of each token's start in the decoded text)."""
-    bound_batches(docs.sparkSession)
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    names = ["ids", *["decoded"] * decoded, *["offsets"] * offsets]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: list[str]) -> list[pa.Array]:
         coder = codec(ranks_path)
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts, SCAN_CHARS):
-                ids, bounds = coder.encode(texts[a:b])
-                made = [_cut(ids.astype("<u4").tobytes(), 4 * bounds), *[coder.decode(ids, bounds)] * decoded, *[coder.offsets(ids, bounds)] * offsets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.binary()) for x in made)], ["key", *names])
-
-    schema = f"key {kind}, " + ", ".join(f"{n} binary" for n in names)
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
-    return out.select(F.col("key").alias(key), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), *names)
+        ids, bounds = coder.encode(texts)
+        made = [_cut(ids.astype("<u4").tobytes(), 4 * bounds), *[coder.decode(ids, bounds)] * decoded, *[coder.offsets(ids, bounds)] * offsets]
+        return [pa.array(np.diff(bounds), pa.int64()), *(pa.array(x, pa.binary()) for x in made)]
+
+    names = ["ids", *["decoded"] * decoded, *["offsets"] * offsets]
+    return map_texts(docs, text, keep, run, {"n_tokens": "bigint"} | dict.fromkeys(names, "binary"))
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS = 2000
@@ -61,12 +62,29 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def batches_of(rows: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, of at most ``most`` bytes of buffers or one row."""
-    for batch in rows:
-        step = max(1, min(batch.num_rows, batch.num_rows * most // max(batch.nbytes, 1)))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+#: Characters of text that a worker works on at once (one text at least).
+SCAN_CHARS = 1 << 20
+
+
+def map_texts(rows: DataFrame, text: str, keep: Sequence[str], made_of: Callable[[list[str]], list[pa.Array]], made: dict[str, str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` and the columns ``made`` (names and types) that ``made_of`` returns for a
+    list of texts. Inside, all columns have names of their own, so theirs may be any."""
+    bound_batches(rows.sparkSession)
+    inner = [f"kept_{i}" for i in range(len(keep))]
+    fresh = [f"made_{i}" for i in range(len(made))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in slices(texts, SCAN_CHARS):
+                columns = [c.slice(a, b - a) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*columns, *made_of(texts[a:b])], [*inner, *fresh])
+
+    read = rows.select(F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{k}`").alias(n) for k, n in zip(keep, inner, strict=True)))
+    kinds = [read.schema[n].dataType for n in inner]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(inner, kinds, strict=True)] + [T.StructField(n, T.DataType.fromDDL(k)) for n, k in zip(fresh, made.values(), strict=True)])
+    out = read.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(k) for n, k in zip([*inner, *fresh], [*keep, *made], strict=True)))
 
 
 #: Keys with one of so many parts of all rows, or more, are joined by broadcast.

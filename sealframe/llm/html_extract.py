@@ -16,15 +16,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import batches_of, bound_batches, texts_of
+from .common import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -189,16 +187,9 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row of ``pages``: the columns ``keep``, ``text`` and ``n_chars`` (its code points)."""
-    bound_batches(pages.sparkSession)
-    kinds = [pages.schema[k].dataType.simpleString() for k in keep]
-    names = [f"kept_{i}" for i in range(len(keep))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 8 << 20):
-            made = [main_text(x) for x in texts_of(batch.column(0))]
-            sizes = [len(x) for x in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.string()), pa.array(sizes, pa.int64())], [*names, "text", "n_chars"])
-
-    read = pages.select(F.col(html).cast("string").alias("html"), *(F.col(k).alias(n) for k, n in zip(keep, names, strict=True)))
-    out = read.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", text string, n_chars bigint")
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keep, strict=True)), "text", "n_chars")
+
+    def run(pages: list[str]) -> list[pa.Array]:
+        made = list(map(main_text, pages))
+        return [pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())]
+
+    return map_texts(pages, html, keep, run, {"text": "string", "n_chars": "bigint"})

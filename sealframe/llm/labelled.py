@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held_out, slices, texts_of
-
-SCAN_CHARS = 1 << 20
+from .common import SCAN_CHARS, bound_batches, held_out, slices, texts_of
 
 
 def sample(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], np.ndarray], rows: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], n
     table = got.toArrow().sort_by("doc_id")
     packed = table.column("features").to_pylist()
     x = np.frombuffer(b"".join(packed), "<f4").reshape(len(packed), -1) if packed else np.zeros((0, 0), np.float32)
-    return x.astype(np.float64), np.array(table.column("label").to_pylist(), np.int64)
+    return x, np.array(table.column("label").to_pylist(), np.int64)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bag_minhash import mix, overlap, shingles, signatures
-from .common import bound_batches, cut, join_counted, slices, texts_of
+from .common import SCAN_CHARS, bound_batches, cut, join_counted, slices, texts_of
 from .textstats import Texts
 
 SIMILARITY = 0.8
@@ -43,7 +43,6 @@ BANDS, BAND_SLOTS = 28, 5
 HUBS = 4
 #: Members that are verified with a hub in one group.
 GROUP = 256
-SCAN_CHARS = 1 << 20
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:

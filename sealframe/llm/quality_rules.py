@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, texts_of
-from .labelled import SCAN_CHARS, descend, sample, sigmoid
+from .common import map_texts
+from .labelled import descend, sample, sigmoid
 from .textstats import Texts
 
 #: Labelled rows to learn from, at most.
@@ -90,8 +90,8 @@ class Regression:
         if len({*good[aside]}) < 2 or len({*good[used]}) < 2:
             aside = used = part
         y = np.where(good, 1.0, -1.0)
-        mean, scale = x[used].mean(0), x[used].std(0) + 1e-4
-        z = ((x[used] - mean) / scale).astype(np.float32)
+        mean, scale = x[used].mean(0, dtype=np.float64), x[used].std(0, dtype=np.float64) + 1e-4
+        z = (x[used] - mean.astype(np.float32)) / scale.astype(np.float32)
         # Both labels weigh the same.
         weigh = np.where(good[used], 0.5 / good[used].sum(), 0.5 / (~good[used]).sum())
 
@@ -138,22 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Regressi
     return Regression(*sample(docs, labels, features, rows))
 
 
-def apply_rules(docs: DataFrame, model: Regression, text: str = "text", key: str = "doc_id", keep: float = KEEP) -> DataFrame:
-    """Per row of ``docs``: its key, the counts, ``base_failed``, ``probability`` and ``kept``."""
-    bound_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+def apply_rules(docs: DataFrame, model: Regression, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = KEEP) -> DataFrame:
+    """Per row of ``docs``: the columns ``keep``, the counts, ``base_failed``, ``kept`` and ``probability``."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts, SCAN_CHARS):
-                of = Texts(texts[a:b])
-                repeated = of.n_repeat_words()
-                made = [of.n_words, of.word_chars, of.n_symbols(), of.n_dup_lines()[0], repeated]
-                chance = model.probability(of, repeated)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in made), pa.array(chance, pa.float64())], ["key", *counts, "probability"])
-
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{c} bigint" for c in counts) + ", probability double")
+    def run(texts: list[str]) -> list[pa.Array]:
+        of = Texts(texts)
+        repeated = of.n_repeat_words()
+        made = [of.n_words, of.word_chars, of.n_symbols(), of.n_dup_lines()[0], repeated]
+        return [*(pa.array(x, pa.int64()) for x in made), pa.array(model.probability(of, repeated), pa.float64())]
+
+    out = map_texts(docs, text, keep, run, dict.fromkeys(counts, "bigint") | {"probability": "double"})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return out.select(F.col("key").alias(key), *counts, failed.alias("base_failed"), (~failed & (F.col("probability") >= keep)).alias("kept"), "probability")
+    return out.select(*keep, *counts, failed.alias("base_failed"), (~failed & (F.col("probability") >= least)).alias("kept"), "probability")

@@ -13,20 +13,17 @@ empty result; only the two named columns are read, so other columns may have any
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, texts_of
+from .common import map_texts
 from .merging import PairTable, merge_all
 from .pretokenize import Pieces
 
 CACHE_PIECES = 300_000
-SCAN_CHARS = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -82,18 +79,11 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of ``docs``: its key, ``n_bytes`` (UTF-8) and ``n_tokens``."""
-    bound_batches(docs.sparkSession)
-    kind = docs.select(key).schema[0].dataType.simpleString()
+def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs``: the columns ``keep``, ``n_bytes`` (UTF-8) and ``n_tokens``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = counter(vocabulary_path)
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            counts = [n for a, b in slices(texts, SCAN_CHARS) for n in counting.count(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
+    def run(texts: list[str]) -> list[pa.Array]:
+        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        return [pa.array(sizes, pa.int64()), pa.array(counter(vocabulary_path).count(texts), pa.int64())]
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint")
-    return out.withColumnRenamed("key", key)
+    return map_texts(docs, text, keep, run, {"n_bytes": "bigint", "n_tokens": "bigint"})
