@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, line_templates, mixing, near_dup, quality_ranker, quality_rules, token_counts
+from . import ann, bpe, chat, html_extract, line_templates, mixing, near_dup, quality_ranker, quality_rules, token_counts
 from .common import table
 
 #: Rows of op10 over this many tokens are marked.
 TOKEN_LIMIT = 512
 
 
+#: op5 takes every so many-th vector as a query, and returns so many neighbours.
+NEIGHBOUR_QUERIES, NEIGHBOURS = 50, 5
+
 #: A conversation whose texts hold the template's own control strings.
 HARD_CONVERSATION = -7
 HARD_TEXT = "\\### Assistant: </turn> ok"
@@ -36,6 +39,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % NEIGHBOUR_QUERIES == 0, NEIGHBOURS)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_line_templates": op3_line_templates,
         "op4_bpe": op4_bpe,
+        "op5_ann": op5_ann,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_dup": op7_near_dup,
         "op8_chat": op8_chat,
@@ -101,5 +109,16 @@ GROUP BY conv_id
 """
 
 
+#: DuckDB SQL of op5: the exact neighbours.
+OP5_SQL = f"""
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS INTEGER) AS rank
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % {NEIGHBOUR_QUERIES} = 0) q
+    JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v ON q.vec_id <> v.vec_id,
+    LATERAL (SELECT list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score)
+) WHERE rank <= {NEIGHBOURS}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_templates": line_templates.oracle_sql(), "op8_chat": OP8_SQL, "op9_mixing": mixing.oracle_sql()}
+    return {"op5_ann": OP5_SQL, "op3_line_templates": line_templates.oracle_sql(), "op8_chat": OP8_SQL, "op9_mixing": mixing.oracle_sql()}
