@@ -277,7 +277,7 @@ def verify_archives(spark: SparkSession, path: str) -> DataFrame:
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
 
     @F.udf("boolean")
-    def fits(file: str) -> bool | None:
+    def fits(file):
         return digest_fits(file) if os.path.getsize(file) >= FOOTER_BYTES else None
 
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.sealed$", "")

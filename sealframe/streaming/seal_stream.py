@@ -9,10 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import secrets
 from ..operators import seal
 
+#: The schema of the built-in binary source.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """New files of a folder (the source leaves out empty files and names that begin with '.' or '_')."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern).load(folder)
     return found.select(F.col("path").alias("name"), "content", F.col("modificationTime").alias("mtime"), F.lit(0o644).alias("mode"))
 
 
