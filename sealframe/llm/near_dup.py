@@ -17,7 +17,7 @@ share of all rows (``common.join_counted``).
 
 Cases: null texts count as empty; texts without words are alone; texts of fewer than five words
 match only the same words; a row with a null id has a null class and links nothing; rows with one id
-are one node, also where their texts differ; repeated rows come out repeated; texts of any length are
+are one node, also where their texts differ (but for those without words); repeated rows come out repeated; texts of any length are
 shingled whole; an empty table gives an empty result; only the two named columns are read, so
 other columns may have any names.
 """
@@ -129,8 +129,8 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id and class_id, the smallest id of its class."""
     signed = cut(sign(docs))
-    prints = cut(signed.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
-    rows = prints.where(F.size("keys") > 0).select("rep", F.explode("keys").alias("key")).distinct()
+    prints = cut(signed.where(F.size("keys") > 0).groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
+    rows = prints.select("rep", F.explode("keys").alias("key")).distinct()
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     live = cut(join_counted(rows, buckets, "key", "size"))
     degree = live.groupBy("rep").agg(F.sum("size").alias("degree"))
@@ -155,7 +155,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         labels = components(links)
         taken += HUBS
     copies = join_counted(signed.select("doc_id", "print"), prints.select("print", "rep", "copies"), "print", "copies")
-    whole = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
+    alone = signed.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
+    whole = alone.unionByName(docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
     if labels is None:
         return copies.select("doc_id", F.col("rep").alias("class_id")).unionByName(whole)
     named = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left")

@@ -35,7 +35,9 @@ FAMILIES = 2 + len(CHAR_ORDERS)
 STEPS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 #: Share of the sample that calibrates.
 APART = 0.25
-PENALTY = 1e-3
+PENALTY = 0.3
+#: Added to the spread of every bucket, so that rare ones weigh little.
+FLOOR = 0.01
 #: Probability of label 1 that a kept text reaches.
 KEEP = 0.5
 #: Base rules: words at least, and percent of words in repeated windows at most.
@@ -90,7 +92,7 @@ class Regression:
         if len({*good[aside]}) < 2 or len({*good[used]}) < 2:
             aside = used = part
         y = np.where(good, 1.0, -1.0)
-        mean, scale = x[used].mean(0, dtype=np.float64), x[used].std(0, dtype=np.float64) + 1e-4
+        mean, scale = x[used].mean(0, dtype=np.float64), x[used].std(0, dtype=np.float64) + FLOOR
         z = (x[used] - mean.astype(np.float32)) / scale.astype(np.float32)
         # Both labels weigh the same.
         weigh = np.where(good[used], 0.5 / good[used].sum(), 0.5 / (~good[used]).sum())
