@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codec import KEY_BYTES, NONCE_BYTES, SALT_BYTES, key_pads
+from .codec import CHECKSUM_BYTES, KEY_BYTES, NONCE_BYTES, SALT_BYTES, key_pads
 
 # Fixed values of the format.
 ITERATIONS = 100_000
@@ -112,5 +112,25 @@ def _drawn(column: Column, kind: str, draw: Callable[[Random, object], object],
     return drawn.asNondeterministic()(column)
 
 
+def entry_draws(chunks: Column, variance: int = VARIANCE, seed: int | None = None) -> Column:
+    """All that is random in an entry of up to ``chunks`` chunks, drawn in one pass: a struct of entry_salt, frame_header,
+    interblock_pad, trailer_pad, entry_checksum, deltas (one per chunk) and nonces (three more than chunks)."""
+
+    def draw(random: Random, n: object) -> tuple:
+        pads = [random(random_length(*b, random)) for b in (INTERBLOCK_PADDING, TRAILER_PADDING)]
+        deltas = [random_delta(variance, random) for _ in range(int(n))]
+        return random(SALT_BYTES), random(FRAME_HEADER_BYTES), *pads, random(CHECKSUM_BYTES), deltas, [random(NONCE_BYTES) for _ in range(int(n) + 3)]
+
+    names = ["entry_salt", "frame_header", "interblock_pad", "trailer_pad", "entry_checksum", "deltas", "nonces"]
+
+    @F.pandas_udf(", ".join(f"{n} binary" for n in names[:5]) + ", deltas array<int>, nonces array<binary>")
+    def drawn(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        random = os.urandom if seed is None else seeded(seed)
+        for batch in values:
+            yield pd.DataFrame([draw(random, n) for n in batch], columns=names)
+
+    return drawn.asNondeterministic()(chunks)
+
+
 def salts(row: Column, seed: int | None = None) -> Column:
     return random_bytes(row, SALT_BYTES, seed)

@@ -40,25 +40,15 @@ def seal(files: DataFrame, password: str, iterations: int = secrets.ITERATIONS,
         files = files.repartition(spread, "archive_id", "entry_ix")
     content = F.coalesce("content", F.unhex(F.lit("")))
     rows = files.select("archive_id", "entry_ix", F.coalesce("name", F.lit("")).alias("name"), content.alias("content"), F.coalesce("mtime", F.timestamp_seconds(F.lit(0))).alias("mtime"), F.coalesce("mode", F.lit(0)).alias("mode"))
-    ix = F.col("entry_ix")
     most = chunk.most_chunks(F.octet_length("content"), variance)
-    drawn = rows.select(
-        "*",
-        secrets.salts(ix, seed).alias("entry_salt"),
-        secrets.random_bytes(ix, secrets.FRAME_HEADER_BYTES, seed).alias("frame_header"),
-        secrets.random_padding(ix, secrets.INTERBLOCK_PADDING, seed).alias("interblock_pad"),
-        secrets.random_padding(ix, secrets.TRAILER_PADDING, seed).alias("trailer_pad"),
-        secrets.random_bytes(ix, codec.CHECKSUM_BYTES, seed).alias("entry_checksum"),
-        secrets.random_deltas(most, variance, seed).alias("deltas"),
-        secrets.nonces(most + 3, seed).alias("nonces"),
-    )
+    drawn = rows.select("*", secrets.entry_draws(most, variance, seed).alias("drawn")).select(*rows.columns, "drawn.*")
     keyed = drawn.withColumn("secret", secrets.derived_key(F.col("entry_salt"), password, iterations))
     key = F.col("secret.key")
     nonce = lambda i: F.get("nonces", F.lit(i) if isinstance(i, int) else i)
     sealed_name = codec.seal_bytes(F.encode("name", "UTF-8"), key, nonce(0))
     metadata = codec.pack_metadata(sealed_name, codec.size_bucket(F.octet_length("content")), codec.timestamp_hash(F.col("entry_salt"), F.col("mtime")), F.col("mode"))
     laid = keyed.withColumn("layout", chunk.layout(F.octet_length("content"), F.col("deltas")))
-    blocks = F.transform("layout", lambda c, i: codec.seal_bytes(chunk.sliced(F.col("content"), c), key, nonce(i + 3)))
+    blocks = chunk.pieces(F.col("content"), F.col("layout"), lambda piece, i: codec.seal_bytes(piece, key, nonce(i + 3)))
     return laid.select(
         "archive_id",
         "entry_ix",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, secrets
+from . import chunk
 
 FATAL, RECOVERABLE = "fatal", "recoverable"
 #: Codes of outcomes.
@@ -51,7 +52,7 @@ def unseal(entries: DataFrame, password: str, iterations: int = secrets.ITERATIO
     named = _named(_keyed(entries, password, iterations))
     opened = named.withColumn("pieces", F.transform("blocks", lambda b: codec.open_bytes(b, key))).withColumn("hmac", codec.open_bytes(F.col("hmac_sealed"), key))
     whole = opened.withColumn("pieces_ok", F.col("pieces").isNotNull() & F.forall("pieces", lambda p: p.isNotNull()))
-    whole = whole.withColumn("plain", F.when(F.col("pieces_ok"), F.aggregate("pieces", F.unhex(F.lit("")), lambda a, p: F.concat(a, p))))
+    whole = whole.withColumn("plain", F.when(F.col("pieces_ok"), chunk.joined(F.col("pieces"))))
     err = (
         _name_errors()
         .when(F.col("blocks").isNull() | F.exists("blocks", lambda b: b.isNull()), error("TRUNCATED", "read block ciphertext"))

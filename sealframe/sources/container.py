@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import codec
+from ..operators import chunk
 
 NAME = "sealed"
 SUFFIX = ".sealed"
@@ -231,7 +232,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
 
 def entry_body(entries: DataFrame) -> DataFrame:
     """Every entry as the bytes that stand for it in a container."""
-    blocks = F.aggregate("blocks", F.unhex(F.lit("")), lambda a, b: F.concat(a, codec.framed(b)))
+    blocks = chunk.joined(F.transform("blocks", codec.framed))
     body = F.concat(
         codec.binary(bytes([codec.ENTRY_FILE])),
         F.col("entry_salt"),
