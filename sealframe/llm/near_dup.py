@@ -7,9 +7,9 @@
    hubs, the documents that meet the most others over all their buckets, are paired with its members.
    A near-copy group's centre is such a hub, so one pass links what is close to it. Further passes take the
    next hubs against the members that are not yet in the hub's component, until a pass finds nothing
-   new. Buckets of up to ``HUBS`` + 1 members are thereby compared in full in the first pass.
-3. Pairs are verified by the exact weighted Jaccard similarity of their shingles, in groups of one hub and a
-   bounded part of its members, streamed.
+   new or no hubs are left. Buckets of up to ``HUBS`` + 1 members are thereby compared in full in the first pass.
+3. Pairs are verified by the exact weighted Jaccard similarity of their shingles. A hub's members are dealt over
+   parts, and each part is streamed past the hub: a task holds one hub and a batch of members.
 4. Classes are the connected components of the verified links; a class is named by its smallest id.
 
 Common keys (fingerprints and bands) are joined by broadcast, their number being bounded by their
@@ -41,8 +41,8 @@ SIMILARITY = 0.8
 BANDS, BAND_SLOTS = 28, 5
 #: Hubs of a bucket that one pass takes.
 HUBS = 4
-#: Members that are verified with a hub in one group.
-GROUP = 256
+#: Parts that a hub's members are dealt over to be verified.
+PARTS = 256
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -78,9 +78,7 @@ def sign(docs: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (hub, member) whose texts are similar enough, with ``similarity``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    parted = join_counted(pairs, sizes, "hub", "members").select("hub", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("members") / GROUP)).alias("part"))
-    parted = cut(parted)
+    parted = cut(pairs.select("hub", "member", F.pmod(F.xxhash64("member"), F.lit(PARTS)).alias("part")))
     hubs = parted.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("order"))
     wanted = hubs.unionByName(parted.select("hub", "part", F.col("member").alias("id"), F.lit(1).alias("order")))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -132,18 +130,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     prints = cut(signed.where(F.size("keys") > 0).groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")))
     rows = prints.select("rep", F.explode("keys").alias("key")).distinct()
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    live = cut(join_counted(rows, buckets, "key", "size"))
-    degree = live.groupBy("rep").agg(F.sum("size").alias("degree"))
-    live = live.join(degree, "rep")
+    met = join_counted(rows, buckets, "key", "size")
+    live = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("degree")), "rep"))
     place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), "rep"))
     links, labels, taken = None, None, 0
     while True:
         # The filter on the row number keeps a bucket's first rows in each task before it shuffles.
-        hubs = live.where(F.col("size") > taken).withColumn("place", place).where(F.col("place") <= taken + HUBS).where(F.col("place") > taken)
-        hubs = hubs.select("key", F.col("rep").alias("hub"))
-        per_key = hubs.groupBy("key").agg(F.sort_array(F.collect_list("hub")).alias("hubs")).join(buckets, "key")
-        met = join_counted(live.select("key", F.col("rep").alias("member")), per_key, "key", "size").select("member", F.explode("hubs").alias("hub")).where("hub <> member")
-        pairs = met.distinct()
+        ranked = live.where(F.col("size") > taken).withColumn("place", place).where(F.col("place") <= taken + HUBS).where(F.col("place") > taken)
+        hubs = cut(ranked.groupBy("key").agg(F.collect_list("rep").alias("hubs"), F.first("size").alias("size")))
+        if hubs.limit(1).count() == 0:
+            break
+        members = live.select("key", F.col("rep").alias("member"))
+        pairs = join_counted(members, hubs, "key", "size").select("member", F.explode("hubs").alias("hub")).where("hub <> member").distinct()
         if labels is not None:
             near = labels.select(F.col("id").alias("member"), F.col("label").alias("member_label"))
             far = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
