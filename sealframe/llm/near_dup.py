@@ -42,7 +42,7 @@ BANDS, BAND_SLOTS = 28, 5
 #: Hubs of a bucket that one pass takes.
 HUBS = 4
 #: Parts that a hub's members are dealt over to be verified.
-PARTS = 256
+PARTS = 16
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
