@@ -8,6 +8,8 @@
    A near-copy group's centre is such a hub, so one pass links what is close to it. Further passes take the
    next hubs against the members that are not yet in the hub's component, until a pass finds nothing
    new or no hubs are left. Buckets of up to ``HUBS`` + 1 members are thereby compared in full in the first pass.
+   What the passes leave, members of one bucket in different components, is compared by an exact join (``unsettled``):
+   shingles are ordered from rare to common, and two texts that are similar enough share one of the first few.
 3. Pairs are verified by the exact weighted Jaccard similarity of their shingles. A hub's members are dealt over
    parts, and each part is streamed past the hub: a task holds one hub and a batch of members.
 4. Classes are the connected components of the verified links; a class is named by its smallest id.
@@ -43,6 +45,8 @@ BANDS, BAND_SLOTS = 28, 5
 HUBS = 4
 #: Parts that a hub's members are dealt over to be verified.
 PARTS = 16
+#: Bins of the shingles' hashes in which they are counted, to order them from rare to common.
+BINS = 1 << 18
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -106,6 +110,71 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return groups.select("hub", "part", "id", "order", "text").mapInArrow(run, f"hub {kind}, member {kind}, similarity double")
 
 
+def _ordered(texts: DataFrame, bins: np.ndarray | None, similarity: float) -> DataFrame:
+    """Of (id, label, small, text): without ``bins`` the number of shingles in every bin of their hashes, with them each
+    row's size and first shingles, those of the emptiest bins being first. A shingle that stands w times counts as w."""
+    kind, label = (texts.schema[c].dataType.simpleString() for c in ("id", "label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(BINS, np.int64)
+        for batch in batches:
+            words = texts_of(batch.column(3))
+            for a, b in slices(words, SCAN_CHARS):
+                text, hashed, weight = shingles(Texts(words[a:b]))
+                text, hashed, last = np.repeat(text, weight), np.repeat(hashed, weight), np.cumsum(weight)
+                turn = np.arange(len(text)) - np.repeat(last - weight, weight)
+                hashed = mix(hashed + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                held = (hashed % np.uint64(BINS)).astype(np.int64)
+                if bins is None:
+                    counted += np.bincount(held, minlength=BINS)
+                    continue
+                order = np.lexsort((hashed, bins[held], text))
+                size = np.bincount(text, minlength=b - a)
+                begin = np.cumsum(size) - size
+                first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+                chosen = order[np.arange(len(text)) - begin[text] < first[text]]
+                row = pa.array(text[chosen] + a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(size[text[chosen]]), pa.array(hashed[chosen].view(np.int64))], ["id", "label", "small", "size", "shingle"])
+        if bins is None:
+            some = np.flatnonzero(counted)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counted[some])], ["bin", "n"])
+
+    rows = texts.select("id", "label", "small", "text")
+    return rows.mapInArrow(run, "bin bigint, n bigint" if bins is None else f"id {kind}, label {label}, small boolean, size bigint, shingle bigint")
+
+
+def unsettled(live: DataFrame, labels: DataFrame | None, docs: DataFrame, taken: int, similarity: float) -> DataFrame | None:
+    """Pairs (hub, member) in different components that may be similar enough, with all such pairs that share
+    a bucket of which ``taken`` hubs were compared; None if every such bucket is one component.
+
+    Two texts of similarity s share at least s times the size of either, so in any order of all shingles they share one of
+    the first size - ceil(s * size) + 1 of each. Of two components in a bucket, one is not its largest: only
+    the members of such (``small``) look for partners, so a large group is not paired with itself.
+    """
+    named = live.where(F.col("size") > taken + 1).select("key", "rep")
+    if labels is None:
+        named = named.withColumn("label", F.col("rep"))
+    else:
+        named = named.join(labels.select(F.col("id").alias("rep"), F.col("label").alias("known")), "rep", "left").select("key", "rep", F.coalesce("known", "rep").alias("label"))
+    named = cut(named)
+    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).where("labels > 1").select("key", "largest", "size")
+    rows = join_counted(named, split, "key", "size")
+    members = cut(rows.groupBy(F.col("rep").alias("id"), "label").agg(F.max(F.col("label") != F.col("largest")).alias("small")))
+    if members.limit(1).count() == 0:
+        return None
+    texts = cut(members.join(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null"), "id"))
+    counts = _ordered(texts, None, similarity).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins = np.zeros(BINS, np.int64)
+    bins[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
+    first = cut(_ordered(texts, bins, similarity).distinct())
+    a = first.where("small").select(F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), "shingle")
+    b = first.select(F.col("id").alias("member"), "label", "size", "small", "shingle")
+    close = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-6
+    once = ~F.col("small") | (F.col("hub") < F.col("member"))
+    return a.join(b, "shingle").where((F.col("label") != F.col("hub_label")) & close & once).select("hub", "member").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in ``links`` (a, b): the smallest id that links lead to.
 
@@ -147,11 +216,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             far = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
             pairs = pairs.join(near, "member", "left").join(far, "hub", "left").where(F.coalesce("member_label", "member") != F.coalesce("hub_label", "hub")).select("hub", "member")
         found = cut(verify(pairs, docs, similarity).select(F.col("hub").alias("a"), F.col("member").alias("b")))
+        taken += HUBS
         if found.limit(1).count() == 0:
             break
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        taken += HUBS
+    left = unsettled(live, labels, docs, taken, similarity)
+    if left is not None:
+        found = cut(verify(left, docs, similarity).select(F.col("hub").alias("a"), F.col("member").alias("b")))
+        if found.limit(1).count():
+            labels = components(found if labels is None else found.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))))
     copies = join_counted(signed.select("doc_id", "print"), prints.select("print", "rep", "copies"), "print", "copies")
     alone = signed.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
     whole = alone.unionByName(docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -102,6 +102,19 @@ def test_groups_around_a_centre(spark):
     assert classes_of(spark, rows) == want
 
 
+def test_pairs_among_texts_of_one_template(spark):
+    """Texts with a shared body, mutually just under the threshold, and a few pairs over it that no hub is in."""
+    rng = random.Random(1)
+    body = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(body + [f"z{rng.randrange(10**6)}" for _ in range(42)])) for i in range(150)]
+    for i in range(0, 120, 6):
+        words = rows[i][1].split()
+        rows[i + 1] = (i + 1, " ".join(words[:308] + [f"y{rng.randrange(10**6)}" for _ in range(34)]))
+    want = brute(rows)
+    assert sum(want[i] != i for i in want) == 20
+    assert classes_of(spark, rows) == want
+
+
 def test_cases(spark):
     same = "one two three four five six seven eight nine ten"
     rows = [(5, same), (3, same.replace(" ", "\n")), (3, same), (8, "two words"), (9, "two  words"), (10, "words two"), (11, ""), (12, None), (13, " \n"), (None, same), (14, "x " * 40_000), (15, "x " * 45_000), (16, "x " * 20_000)]
