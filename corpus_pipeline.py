@@ -43,7 +43,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in an order that interleaves their sources to the target weights."""
-    placed = mixing.mix(docs, made=_MADE)
+    placed = mixing.mix(docs, mixing.own_lanes(docs), made=_MADE)
     return placed.orderBy(_MADE[2], _MADE[3]).select(docs.columns)
 
 

@@ -1,6 +1,7 @@
 """Interleaving sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-Every source is a lane (sources without a weight of their own share one), and its rows, in an
+Every source is a lane (sources without a weight of their own share one, or with ``own_lanes`` have
+one each), and its rows, in an
 order hashed from their ids, form blocks. With u of W units of weight, a lane's k-th block may be
 released at slot floor(k*W/u) and is due by slot ceil((k+1)*W/u); at every slot the released block
 with the earliest deadline goes next. Such a schedule repeats every W slots and keeps every lane
@@ -19,6 +20,8 @@ columns made here are named by ``made``, which must not clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,6 +39,33 @@ MOST_UNITS = 10_000
 MADE = ("lane", "block", "slot", "place")
 
 
+def own_lanes(docs: DataFrame, weights: dict[str, int] = WEIGHTS) -> dict[str, int]:
+    """``weights`` for which every source of ``docs`` has a lane to itself: those without a weight of their own get equal
+    parts of the shared lane's. The shared lane keeps one of them: null where it occurs, else the last by name.
+
+    All units are multiplied to stay whole, and MOST_UNITS bounds their sum, so with weights of 100 in all there may be
+    100 such sources; more of them are an error.
+    """
+    if SHARED not in weights or any(not isinstance(u, int) or u < 1 for u in weights.values()):
+        raise ValueError(f"weights are whole numbers from 1, with one for '{SHARED}'")
+    own = [x for x in weights if x != SHARED]
+    kept = docs.select(F.col("source").cast("string").alias("source")).where(F.col("source").isNull() | ~F.col("source").isin(own))
+    found = [r.source for r in kept.distinct().limit(MOST_UNITS + 1).collect()]
+    others = sorted(x for x in found if x is not None)
+    parts = max(1, len(found))
+    units = {x: u * parts for x, u in weights.items()}
+    if parts > 1:
+        # A source of the shared lane's own name has that lane.
+        pooled = None if None in found else SHARED if SHARED in others else others[-1]
+        units |= {x: weights[SHARED] for x in others if x not in (pooled, SHARED)}
+        units[SHARED] = weights[SHARED] * (2 if None in found and SHARED in others else 1)
+    least = math.gcd(*units.values())
+    units = {x: u // least for x, u in units.items()}
+    if sum(units.values()) > MOST_UNITS:
+        raise ValueError(f"{len(found)} sources without a weight of their own need a period of {sum(units.values())} slots, over {MOST_UNITS}")
+    return units
+
+
 def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     """One period: the slot of each lane's j-th block, with the lane's units."""
     names, units = list(weights), list(weights.values())

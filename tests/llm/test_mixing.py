@@ -60,3 +60,27 @@ def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, source string")
     text = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text
+
+
+def test_every_source_has_a_lane(spark):
+    """Ten sources without a weight, one of them hot: each keeps within a block of its part of the shared weight."""
+    rows = [(i, f"src{i % 20}") for i in range(8000)] + [(8000 + i, "src15") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string")
+    weights = mixing.own_lanes(docs)
+    assert sum(weights.values()) == 200 and weights["src0"] == 24 and weights["src10"] == weights["src15"] == weights["*"] == 7
+    got = placed(spark, docs, weights, 8)
+    assert sorted(r.doc_id for r in got) == list(range(16000))
+    names = [f"src{i}" for i in range(20)]
+    count = dict.fromkeys(names, 0)
+    for i, r in enumerate(got[:3000], 1):
+        count[r.source] += 1
+        if i % 8 == 0:
+            assert all(abs(count[x] - weights.get(x, weights["*"]) * i / 200) < 8 for x in names)
+
+
+def test_own_lanes(spark):
+    lanes = lambda *sources: mixing.own_lanes(spark.createDataFrame([(s,) for s in sources], "source string"), {"a": 1, "*": 1})
+    assert lanes("a") == {"a": 1, "*": 1} == lanes("a", "b") == lanes(None)
+    assert lanes("a", "b", "c", "c") == {"a": 2, "*": 1, "b": 1} and lanes("b", None) == {"a": 2, "*": 1, "b": 1}
+    with pytest.raises(ValueError):
+        lanes(*(f"s{i}" for i in range(5001)))
