@@ -14,6 +14,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sealframe.llm import bpe, line_templates, mixing, near_dup, quality_ranker
 
@@ -48,8 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: its ids, and whether they decode to its text."""
-    coded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), keep=("doc_id", "source", "text"), decoded=True)
+    """Per document: its ids, and whether they decode to its text, in mixed order: a table read again does not
+    come in the order of its files, so the order is laid anew, and encoding keeps it."""
+    coded = bpe.encode(mixed(spark, docs, sf_dir), public_tokenizers.path(VOCABULARY), keep=("doc_id", "source", "text"), decoded=True)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", "n_tokens", "ids", whole.alias("round_trip"))
 
@@ -66,8 +68,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def in_order(spark: SparkSession, at: str) -> DataFrame:
+    """The table written to ``at`` with ``position``, its rows' numbers in the order in which they were written."""
+    rows = spark.read.parquet(at).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row a file.
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
+    before = files.select("_file", (F.sum("rows").over(W.orderBy("_file")) - F.col("rows")).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each is written to the shared folder and read again by the next."""
+    """Apply all stages to the documents; each is written to the shared folder and read again by the next.
+    The result has ``position`` besides, the place of the row in the mixed order."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -79,4 +91,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at)
         docs = spark.read.parquet(at)
-    return docs
+    return in_order(spark, at)

@@ -1,8 +1,9 @@
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sealframe.llm import bpe, near_dup, queries
+from sealframe.llm import bpe, mixing, near_dup, queries
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,6 +65,28 @@ def test_run(spark, steps):
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in steps[-1].collect())
 
 
+def test_run_keeps_the_mixed_order(spark, steps):
+    got = sorted(corpus_pipeline.run(spark, DIR).select("doc_id", "position").collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(len(got)))
+    placed = mixing.mix(steps[4], mixing.own_lanes(steps[4])).collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in sorted(placed, key=lambda r: (r.slot, r.place))]
+
+
+def test_prefixes_hold_the_target_shares(spark, tmp_path, monkeypatch):
+    """Through ``run``, over several files, with the two stages that place rows and encode them."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).select("position", "source").collect(), key=lambda r: r.position)
+    weights = mixing.own_lanes(docs)
+    names, whole = [f"src{i}" for i in range(20)], sum(weights.values())
+    count = dict.fromkeys(names, 0)
+    for i, r in enumerate(got[:4800], 1):
+        count[r.source] += 1
+        if i % mixing.BLOCK_ROWS == 0:
+            assert all(abs(count[x] - weights.get(x, weights["*"]) * i / whole) < mixing.BLOCK_ROWS for x in names)
+
+
 def test_stages_on_hard_rows(spark):
     """Nulls anywhere, empty and long texts, repeated rows, and a table without rows."""
     rows = [(None, None, None, None, None), (1, "", "en", "src0", 0), (2, "word " * 30_000, "en", "src1", 1), (2, "word " * 30_000, "en", "src1", 1), (3, "short", None, None, None)]
