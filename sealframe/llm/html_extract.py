@@ -4,7 +4,7 @@ A page is cut into blocks of text. Blocks with the same root-to-leaf path of blo
 (with their classes) form a group; for each path the text length and the punctuation per block
 are taken, both are smoothed along the page with a Gaussian kernel, fused into one score,
 weighted by what the path's element names and classes say, and blocks whose score reaches a share
-of the page's best are the content.
+of the page's best are the content. Blocks in the article's element are content whatever their score.
 
 Cases: null or empty html gives an empty text; a page without content gives an empty text;
 unclosed, misnested and cut-off markup is read as browsers do it in the main; pages of any length
@@ -182,7 +182,7 @@ def main_text(html: str) -> str:
         worded = np.array([bool(WITHIN & {w.lower() for s in p.split("/")[2:] for w in WORD.findall(s.partition(".")[2])}) for p in number])
         weight = np.where(worded[path] | ~worded.any(), 1.0, 0.5) * np.where(linked[path] > 0.5, LINKS, 1.0)
     score = fused * weight
-    return "\n".join(x[1] for x, s in zip(found, score, strict=True) if s >= SHARE * score.max())
+    return "\n".join(x[1] for x, s in zip(found, score, strict=True) if x[3] == 2 or s >= SHARE * score.max())
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -51,6 +51,16 @@ def test_cases(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("many", [7, 90])
+def test_short_blocks_beside_a_long_paragraph(many):
+    cells = [str(1900 + i) for i in range(24)]
+    table = "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2], strict=True)) + "</table>"
+    items = [f"item {i} of it" for i in range(20)]
+    listed = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    html = page(f"<nav>Menu</nav><article><p>{LONG * many}</p>{table}{listed}</article><footer>Foot</footer>")
+    assert html_extract.main_text(html) == "\n".join([(LONG * many).strip(), *cells, *items])
+
+
 def test_links_beside_plain_divs():
     html = page("<div><a href=1>One</a> <a href=2>Two</a></div><div><p>" + LONG + "</p></div>")
     assert html_extract.main_text(html) == LONG.strip()
