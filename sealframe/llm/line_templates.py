@@ -18,6 +18,11 @@ Cases: a null text stays null and has no lines; lines without tokens are never d
 never the first; repeated rows (equal id and text) count as documents of their own and come
 out alike; texts of any length are parsed whole; an empty table gives an empty result; all columns
 are kept, and columns made here are named by ``made``, which must not clash.
+
+``drop_all_recurring`` is the stricter form that the pipeline uses (``drop_recurring`` is what the SQL of the query says):
+* equal texts count as one and lose the same lines, so they stay equal for the operator on near-duplicate documents;
+* another document stays whole only if its text is a near copy: half its words recur, and five-word shingles
+  are shared with the text that most of its lines come from to ``SIMILARITY`` or more.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 #: Documents in which a template recurs.
 MIN_DOCS = 4
@@ -33,6 +38,8 @@ MIN_DOCS = 4
 LONG_LINE = 8
 #: Leading tokens that the back half's template holds too.
 LEADING = 2
+#: Share of all five-word shingles that a near copy has in common with the other text.
+SIMILARITY = 0.8
 #: A template with one of so many parts of all rows, or more, is common.
 COMMON_PART = 2000
 MADE = ("n_lines", "n_dropped", "whole_copy")
@@ -50,6 +57,20 @@ _KEYS = f"""
         END))"""
 
 
+#: As _KEYS.
+_STRICT_KEYS = f"""
+    zip_with({_TOKENS}, split(text, '\n'), (t, l) -> named_struct(
+        'n', if(t[0] = '', 0, size(t)),
+        'keys', transform(CASE
+            WHEN t[0] = '' THEN cast(array() as array<bigint>)
+            WHEN size(t) < {LONG_LINE} THEN array(xxhash64(size(t), t))
+            ELSE array(
+                xxhash64(size(t), 'front', slice(t, 1, size(t) div 2)),
+                xxhash64(size(t), 'back', slice(t, 1, {LEADING}), slice(t, size(t) div 2 + 1, size(t))))
+            END, k -> k & -2L))))"""
+_SHINGLES = r"array_distinct(flatten(transform(array(split(trim(regexp_replace({}, '\\s+', ' ')), ' ')), w -> transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(slice(w, i, 5))))))"
+
+
 def _parsed(docs: DataFrame) -> DataFrame:
     """Per document: its id, its text's hash, its words and its lines (tokens and templates)."""
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
@@ -85,6 +106,37 @@ def _dropped(docs: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
+def _strictly_dropped(docs: DataFrame, min_docs: int) -> DataFrame:
+    """Per id and hash: ascending positions of the lines to drop, and whether the text is a near copy as a whole."""
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").withColumn("hash", F.xxhash64("text"))
+    texts = text.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    parsed = cut(texts.select("doc_id", "hash", "copies", F.expr(_STRICT_KEYS).alias("lines")).withColumn("words", F.expr("aggregate(lines, 0L, (a, x) -> a + x.n)")))
+    # Null ids come last.
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    recurring = cut(
+        parsed.select(place.alias("place"), F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("place").alias("first"))
+        .where(F.col("docs") >= min_docs)
+        .select("key", "docs", F.col("first.hash").alias("first"))
+    )
+    rows = parsed.select("hash", "words", F.posexplode("lines").alias("pos", "line")).select("hash", "words", "pos", "line.n", F.explode("line.keys").alias("key"))
+    common = recurring.join(F.broadcast(recurring.agg(F.sum("docs").alias("total"))), F.col("docs") * COMMON_PART >= F.col("total")).select("key", "first", F.lit(True).alias("common"))
+    marked = rows.join(F.broadcast(common), "key", "left")
+    often = marked.where("common").drop("common")
+    rest = marked.where("common is null").drop("common", "first").join(recurring.select("key", "first"), "key").select(often.columns)
+    lines = often.unionByName(rest).where("hash <> first").groupBy("hash", "words", "pos", "n").agg(F.min("first").alias("first"))
+    found = cut(lines.groupBy("hash", "words").agg(F.array_sort(F.collect_set("pos")).alias("positions"), F.sum("n").alias("lost"), F.expr("mode(first)").alias("first")))
+    maybe = found.where("2 * lost >= words").select("hash", "first")
+    wanted = maybe.select(F.col("hash").alias("pair"), F.explode(F.array("hash", "first")).alias("hash")).join(parsed.select("hash", "doc_id"), "hash")
+    # A text is read from the row that stands for it, so that no task gets all copies of one.
+    both = wanted.join(text, (wanted.doc_id.eqNullSafe(text.doc_id)) & (wanted.hash == text.hash)).select("pair", wanted.hash, F.expr(_SHINGLES.format("text")).alias("shingles"))
+    sides = both.groupBy("pair").agg(F.min_by("shingles", "hash").alias("a"), F.max_by("shingles", "hash").alias("b"))
+    copies = sides.where(F.size(F.array_intersect("a", "b")) >= SIMILARITY * F.size(F.array_union("a", "b"))).select(F.col("pair").alias("hash"), F.lit(True).alias("whole"))
+    told = found.join(copies, "hash", "left").join(parsed.select("hash", "copies"), "hash").select("hash", "copies", "positions", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return join_counted(text.select("doc_id", "hash").distinct(), cut(told), "hash", "copies").drop("copies")
+
+
 def _without(lines: Column, positions: Column) -> Column:
     """``lines`` without those at the ascending ``positions``: the stretches between them, end to end."""
     ends = F.concat(positions, F.array(F.size(lines)))
@@ -97,7 +149,19 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, made: tuple[str, s
     if clash := {c.lower() for c in made} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns of these names are made here: {sorted(clash)}")
     given = docs.columns
-    found = _dropped(docs, min_docs).select(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash"), "positions", "whole")
+    return _result(docs, _dropped(docs, min_docs), given, made)
+
+
+def drop_all_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, made: tuple[str, str, str] = MADE) -> DataFrame:
+    """As ``drop_recurring``, by the stricter rules above."""
+    if clash := {c.lower() for c in made} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
+    given = docs.columns
+    return _result(docs, _strictly_dropped(docs, min_docs), given, made)
+
+
+def _result(docs: DataFrame, dropped: DataFrame, given: list[str], made: tuple[str, str, str]) -> DataFrame:
+    found = dropped.select(F.col("doc_id").alias("id"), F.col("hash").alias("text_hash"), "positions", "whole")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in given)).alias("row"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
     joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
     lines = F.split(F.col("row.text").cast("string"), "\n")

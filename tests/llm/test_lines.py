@@ -84,3 +84,14 @@ def test_long_text(spark):
     text = "\n".join(lines[:2500] + ["Top line here"] + lines[2500:])
     got = dropped(spark, ["Top line here\n" + o * 3 for o in OWN] + [text])
     assert got[6].text == "\n".join(lines)
+
+
+def all_dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r for r in line_templates.drop_all_recurring(docs).collect()}
+
+
+def test_boilerplate_heavy_documents_lose_it(spark):
+    line = "Subscribe now to the weekly letter of this small paper"
+    got = all_dropped(spark, [f"{o}\n{line}" for o in OWN] + [f"{line}\nmine {w}" for w in ("one", "two")])
+    assert [got[i].text for i in (1, 5, 6, 7)] == [OWN[1], OWN[5], "mine one", "mine two"] and not any(r.whole_copy for r in got.values())
