@@ -20,6 +20,7 @@ out alike; texts of any length are parsed whole; an empty table gives an empty r
 are kept, and columns made here are named by ``made``, which must not clash.
 
 ``drop_all_recurring`` is the stricter form that the pipeline uses (``drop_recurring`` is what the SQL of the query says):
+* lines of ``LONG_TEXT`` tokens or more that are equal recur from two texts on;
 * equal texts count as one and lose the same lines, so they stay equal for the operator on near-duplicate documents;
 * another document stays whole only if its text is a near copy: half its words recur, and five-word shingles
   are shared with the text that most of its lines come from to ``SIMILARITY`` or more.
@@ -38,6 +39,8 @@ MIN_DOCS = 4
 LONG_LINE = 8
 #: Leading tokens that the back half's template holds too.
 LEADING = 2
+#: Lines with so many tokens recur in two texts, if equal.
+LONG_TEXT = 20
 #: Share of all five-word shingles that a near copy has in common with the other text.
 SIMILARITY = 0.8
 #: A template with one of so many parts of all rows, or more, is common.
@@ -57,7 +60,7 @@ _KEYS = f"""
         END))"""
 
 
-#: As _KEYS.
+#: As _KEYS; the lowest bit tells keys of equal long lines from those of templates.
 _STRICT_KEYS = f"""
     zip_with({_TOKENS}, split(text, '\n'), (t, l) -> named_struct(
         'n', if(t[0] = '', 0, size(t)),
@@ -67,7 +70,7 @@ _STRICT_KEYS = f"""
             ELSE array(
                 xxhash64(size(t), 'front', slice(t, 1, size(t) div 2)),
                 xxhash64(size(t), 'back', slice(t, 1, {LEADING}), slice(t, size(t) div 2 + 1, size(t))))
-            END, k -> k & -2L))))"""
+            END, k -> k & -2L) || if(size(t) >= {LONG_TEXT}, array(xxhash64('line', trim(l)) | 1L), cast(array() as array<bigint>))))"""
 _SHINGLES = r"array_distinct(flatten(transform(array(split(trim(regexp_replace({}, '\\s+', ' ')), ' ')), w -> transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(slice(w, i, 5))))))"
 
 
@@ -117,7 +120,7 @@ def _strictly_dropped(docs: DataFrame, min_docs: int) -> DataFrame:
         parsed.select(place.alias("place"), F.explode(F.array_distinct(F.flatten("lines.keys"))).alias("key"))
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("place").alias("first"))
-        .where(F.col("docs") >= min_docs)
+        .where(F.col("docs") >= F.when(F.expr("key & 1") == 1, 2).otherwise(min_docs))
         .select("key", "docs", F.col("first.hash").alias("first"))
     )
     rows = parsed.select("hash", "words", F.posexplode("lines").alias("pos", "line")).select("hash", "words", "pos", "line.n", F.explode("line.keys").alias("key"))

@@ -95,3 +95,18 @@ def test_boilerplate_heavy_documents_lose_it(spark):
     line = "Subscribe now to the weekly letter of this small paper"
     got = all_dropped(spark, [f"{o}\n{line}" for o in OWN] + [f"{line}\nmine {w}" for w in ("one", "two")])
     assert [got[i].text for i in (1, 5, 6, 7)] == [OWN[1], OWN[5], "mine one", "mine two"] and not any(r.whole_copy for r in got.values())
+
+
+def test_near_copies_stay_whole(spark):
+    """And equal texts stay equal."""
+    copy = "\n".join(f"{o} {o[::-1]} {o}" for o in OWN)
+    near = copy.replace("Winter", "Summer", 1)
+    got = all_dropped(spark, [copy] * 3 + [near])
+    assert [got[i].text for i in range(4)] == [copy] * 3 + [near] and got[3].whole_copy
+
+
+def test_long_lines_in_two_documents(spark):
+    passage = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(52))
+    other = ["\n".join(OWN[:3]) + "\n" + " ".join(w[::-1] for w in " ".join(OWN).split()), "\n".join(OWN[3:]) + "\n" + " ".join(w[1:] + "x" for w in " ".join(OWN).split())]
+    got = all_dropped(spark, [f"{other[0]}\n{passage}", f"{other[1]}\n{passage}", f"{OWN[0][::-1]}\nSubscribe now", f"{OWN[1][::-1]}\nSubscribe now"])
+    assert got[0].n_dropped == got[2].n_dropped == got[3].n_dropped == 0 and got[1].text == other[1]
