@@ -21,6 +21,8 @@ are kept, and columns made here are named by ``made``, which must not clash.
 
 ``drop_all_recurring`` is the stricter form that the pipeline uses (``drop_recurring`` is what the SQL of the query says):
 * lines of ``LONG_TEXT`` tokens or more that are equal recur from two texts on;
+* a template of a line of ``LONG_LINE`` tokens or more is the line without one stretch of a fifth of its tokens at most,
+  so four fifths agree, and no text is lost for its opening or ending alone;
 * equal texts count as one and lose the same lines, so they stay equal for the operator on near-duplicate documents;
 * another document stays whole only if its text is a near copy: half its words recur, and five-word shingles
   are shared with the text that most of its lines come from to ``SIMILARITY`` or more.
@@ -67,9 +69,9 @@ _STRICT_KEYS = f"""
         'keys', transform(CASE
             WHEN t[0] = '' THEN cast(array() as array<bigint>)
             WHEN size(t) < {LONG_LINE} THEN array(xxhash64(size(t), t))
-            ELSE array(
-                xxhash64(size(t), 'front', slice(t, 1, size(t) div 2)),
-                xxhash64(size(t), 'back', slice(t, 1, {LEADING}), slice(t, size(t) div 2 + 1, size(t))))
+            ELSE transform(
+                sequence(1, size(t), size(t) div 5),
+                i -> xxhash64(size(t), i, slice(t, 1, i - 1), slice(t, i + size(t) div 5, size(t))))
             END, k -> k & -2L) || if(size(t) >= {LONG_TEXT}, array(xxhash64('line', trim(l)) | 1L), cast(array() as array<bigint>))))"""
 _SHINGLES = r"array_distinct(flatten(transform(array(split(trim(regexp_replace({}, '\\s+', ' ')), ' ')), w -> transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(slice(w, i, 5))))))"
 

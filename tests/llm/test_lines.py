@@ -110,3 +110,11 @@ def test_long_lines_in_two_documents(spark):
     other = ["\n".join(OWN[:3]) + "\n" + " ".join(w[::-1] for w in " ".join(OWN).split()), "\n".join(OWN[3:]) + "\n" + " ".join(w[1:] + "x" for w in " ".join(OWN).split())]
     got = all_dropped(spark, [f"{other[0]}\n{passage}", f"{other[1]}\n{passage}", f"{OWN[0][::-1]}\nSubscribe now", f"{OWN[1][::-1]}\nSubscribe now"])
     assert got[0].n_dropped == got[2].n_dropped == got[3].n_dropped == 0 and got[1].text == other[1]
+
+
+def test_lines_that_share_half_stay(spark):
+    """A common opening or ending does not take text that stands once; one varying field does not save a line."""
+    ends = [" ".join(o.split()[:5]) for o in OWN]
+    texts = [f"{o} {o}\nIn the years that followed {e}\nWritten by {n} for the daily paper of our small town" for o, e, n in zip(OWN, ends, "Anna Bert Carl Dora Emil Fritz".split(), strict=True)]
+    got = all_dropped(spark, texts)
+    assert all(got[i].text == "\n".join(texts[i].split("\n")[: 2 if i else 3]) for i in range(6))
