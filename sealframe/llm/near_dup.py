@@ -3,16 +3,16 @@
 1. Every text gets a fingerprint of its words and a BagMinHash signature of its five-word shingles
    (``bag_minhash``), cut into bands. Texts with the same words form a copy group, of which one
    document (the smallest id) goes on; copies are never paired.
-2. Documents that share a band stand in one bucket. Pairs are not taken all with all: in each bucket the
-   hubs, the documents that meet the most others over all their buckets, are paired with its members.
-   A near-copy group's centre is such a hub, so one pass links what is close to it. Further passes take the
-   next hubs against the members that are not yet in the hub's component, until a pass finds nothing
-   new or no hubs are left. Buckets of up to ``HUBS`` + 1 members are thereby compared in full in the first pass.
-   What the passes leave, members of one bucket in different components, is compared by an exact join (``unsettled``):
+2. Documents that share a band stand in one bucket. Pairs are not taken all with all: buckets of up to ``SMALL``
+   members are compared in full, and in every larger one its hub, the document that meets the most others over all
+   its buckets, is compared with the members. A near-copy group's centre is such a hub, so this links what is
+   close to it. What that leaves, members of one bucket in different components, is compared by an exact join (``unsettled``):
    shingles are ordered from rare to common, and two texts that are similar enough share one of the first few.
 3. Pairs are verified by the exact weighted Jaccard similarity of their shingles. A hub's members are dealt over
-   parts, and each part is streamed past the hub: a task holds one hub and a batch of members.
-4. Classes are the connected components of the verified links; a class is named by its smallest id.
+   parts, and each part is streamed past the hub: a task holds one hub and a batch of members. Only the texts
+   that share a bucket with another are shuffled for that.
+4. Classes are the connected components of the verified links; a class is named by its smallest id. Of a member's links
+   one goes on, to its smallest partner, and that one is linked to the others, so the links number little more than the members.
 
 Common keys (fingerprints and bands) are joined by broadcast, their number being bounded by their
 share of all rows (``common.join_counted``).
@@ -33,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .bag_minhash import mix, overlap, shingles, signatures
 from .common import SCAN_CHARS, bound_batches, cut, join_counted, slices, texts_of
@@ -41,8 +40,8 @@ from .textstats import Texts
 
 SIMILARITY = 0.8
 BANDS, BAND_SLOTS = 28, 5
-#: Hubs of a bucket that one pass takes.
-HUBS = 4
+#: Buckets of up to so many members are compared in full.
+SMALL = 5
 #: Parts that a hub's members are dealt over to be verified.
 PARTS = 16
 #: Bins of the shingles' hashes in which they are counted, to order them from rare to common.
@@ -79,13 +78,12 @@ def sign(docs: DataFrame) -> DataFrame:
     return read.mapInArrow(run, f"doc_id {kind}, print binary, keys array<bigint>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (hub, member) whose texts are similar enough, with ``similarity``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (hub, member) whose texts, the rows of ``texts`` (id, text), are similar enough, with ``similarity``."""
+    kind = texts.schema["id"].dataType.simpleString()
     parted = cut(pairs.select("hub", "member", F.pmod(F.xxhash64("member"), F.lit(PARTS)).alias("part")))
     hubs = parted.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("order"))
     wanted = hubs.unionByName(parted.select("hub", "part", F.col("member").alias("id"), F.lit(1).alias("order")))
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     groups = wanted.join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "order", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +110,7 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 
 def _ordered(texts: DataFrame, bins: np.ndarray | None, similarity: float) -> DataFrame:
     """Of (id, label, small, text): without ``bins`` the number of shingles in every bin of their hashes, with them each
-    row's size and first shingles, those of the emptiest bins being first. A shingle that stands w times counts as w."""
+    row's size and first shingles with their places, those of the emptiest bins being first. A shingle that stands w times counts as w."""
     kind, label = (texts.schema[c].dataType.simpleString() for c in ("id", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,49 +128,68 @@ def _ordered(texts: DataFrame, bins: np.ndarray | None, similarity: float) -> Da
                     continue
                 order = np.lexsort((hashed, bins[held], text))
                 size = np.bincount(text, minlength=b - a)
-                begin = np.cumsum(size) - size
+                place = np.arange(len(text)) - (np.cumsum(size) - size)[text]
                 first = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
-                chosen = order[np.arange(len(text)) - begin[text] < first[text]]
+                some = place < first[text]
+                chosen, place = order[some], place[some]
                 row = pa.array(text[chosen] + a)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(size[text[chosen]]), pa.array(hashed[chosen].view(np.int64))], ["id", "label", "small", "size", "shingle"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(size[text[chosen]]), pa.array(place), pa.array(hashed[chosen].view(np.int64))], ["id", "label", "small", "size", "place", "shingle"])
         if bins is None:
             some = np.flatnonzero(counted)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counted[some])], ["bin", "n"])
 
     rows = texts.select("id", "label", "small", "text")
-    return rows.mapInArrow(run, "bin bigint, n bigint" if bins is None else f"id {kind}, label {label}, small boolean, size bigint, shingle bigint")
-
+    return rows.mapInArrow(run, "bin bigint, n bigint" if bins is None else f"id {kind}, label {label}, small boolean, size bigint, place bigint, shingle bigint")
 
-def unsettled(live: DataFrame, labels: DataFrame | None, docs: DataFrame, taken: int, similarity: float) -> DataFrame | None:
-    """Pairs (hub, member) in different components that may be similar enough, with all such pairs that share
-    a bucket of which ``taken`` hubs were compared; None if every such bucket is one component.
 
-    Two texts of similarity s share at least s times the size of either, so in any order of all shingles they share one of
-    the first size - ceil(s * size) + 1 of each. Of two components in a bucket, one is not its largest: only
-    the members of such (``small``) look for partners, so a large group is not paired with itself.
-    """
-    named = live.where(F.col("size") > taken + 1).select("key", "rep")
+def _split(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (key, rep, label, largest, size) of the larger buckets that have members of several components."""
+    named = live.where(F.col("size") > SMALL).select("key", "rep")
     if labels is None:
         named = named.withColumn("label", F.col("rep"))
     else:
         named = named.join(labels.select(F.col("id").alias("rep"), F.col("label").alias("known")), "rep", "left").select("key", "rep", F.coalesce("known", "rep").alias("label"))
     named = cut(named)
     parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    split = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).where("labels > 1").select("key", "largest", "size")
-    rows = join_counted(named, split, "key", "size")
-    members = cut(rows.groupBy(F.col("rep").alias("id"), "label").agg(F.max(F.col("label") != F.col("largest")).alias("small")))
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "label")).getField("label").alias("largest"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size")).where("labels > 1").select("key", "largest", "size")
+    return cut(join_counted(named, split, "key", "size"))
+
+
+def unsettled(split: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
+    """Pairs (hub, member) in different components that may be similar enough, with all such pairs that share
+    a bucket; None if every bucket is one component.
+
+    Two texts of similarity s, of x and y <= x shingles, share s / (1 + s) * (x + y) at least. So in any order of all
+    shingles one of the first x - ceil(s * x) + 1 of the larger is one of the first y - ceil(2 * s / (1 + s) * y) + 1 of the smaller,
+    and behind its places there are enough others. Of two components in a bucket, one is not its largest: only
+    the members of such (``small``) look for partners, so a large group is not paired with itself.
+    """
+    members = cut(split.groupBy(F.col("rep").alias("id"), "label").agg(F.max(F.col("label") != F.col("largest")).alias("small")))
     if members.limit(1).count() == 0:
         return None
-    texts = cut(members.join(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null"), "id"))
-    counts = _ordered(texts, None, similarity).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    read = cut(members.join(texts, "id"))
+    counts = _ordered(read, None, similarity).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     bins = np.zeros(BINS, np.int64)
     bins[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
-    first = cut(_ordered(texts, bins, similarity).distinct())
-    a = first.where("small").select(F.col("id").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), "shingle")
-    b = first.select(F.col("id").alias("member"), "label", "size", "small", "shingle")
-    close = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-6
-    once = ~F.col("small") | (F.col("hub") < F.col("member"))
-    return a.join(b, "shingle").where((F.col("label") != F.col("hub_label")) & close & once).select("hub", "member").distinct()
+    first = cut(_ordered(read, bins, similarity).distinct())
+    longer = first.select("shingle", *(F.col(c).alias(f"{c}_l") for c in ("id", "label", "small", "size", "place")))
+    lead = F.col("size") - F.ceil(2 * similarity / (1 + similarity) * F.col("size") - 1e-6) + 1
+    shorter = first.where(F.col("place") < lead).select("shingle", *(F.col(c).alias(f"{c}_s") for c in ("id", "label", "small", "size", "place")))
+    order = (F.col("size_s") < F.col("size_l")) | ((F.col("size_s") == F.col("size_l")) & (F.col("id_s") < F.col("id_l")))
+    close = F.col("size_s") >= similarity * F.col("size_l") - 1e-6
+    behind = F.least(F.col("size_s") - F.col("place_s"), F.col("size_l") - F.col("place_l")) >= similarity / (1 + similarity) * (F.col("size_s") + F.col("size_l")) - 1e-6
+    apart = (F.col("label_s") != F.col("label_l")) & order & close & behind
+    asking = longer.where("small_l").join(shorter, "shingle").where(apart)
+    asked = longer.where("not small_l").join(shorter.where("small_s"), "shingle").where(apart)
+    return asking.unionByName(asked).select(F.col("id_l").alias("hub"), F.col("id_s").alias("member")).distinct()
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components as ``links`` (hub, member): of each member its smallest hub, which is
+    linked to the member's other hubs. Many members share their hubs, so what is left is little more than the members."""
+    least = links.groupBy("member").agg(F.min("hub").alias("least"))
+    others = links.join(least, "member").where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b")).distinct()
+    return least.select(F.col("least").alias("a"), F.col("member").alias("b")).unionByName(others)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,6 +210,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """``labels`` after the links ``found`` (hub, member)."""
+    found = cut(found)
+    if found.limit(1).count() == 0:
+        return labels
+    links = _thinned(found)
+    return components(links if labels is None else links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id and class_id, the smallest id of its class."""
     signed = cut(sign(docs))
@@ -201,31 +227,18 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = join_counted(rows, buckets, "key", "size")
     live = cut(met.join(met.groupBy("rep").agg(F.sum("size").alias("degree")), "rep"))
-    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("degree"), "rep"))
-    links, labels, taken = None, None, 0
-    while True:
-        # The filter on the row number keeps a bucket's first rows in each task before it shuffles.
-        ranked = live.where(F.col("size") > taken).withColumn("place", place).where(F.col("place") <= taken + HUBS).where(F.col("place") > taken)
-        hubs = cut(ranked.groupBy("key").agg(F.collect_list("rep").alias("hubs"), F.first("size").alias("size")))
-        if hubs.limit(1).count() == 0:
-            break
-        members = live.select("key", F.col("rep").alias("member"))
-        pairs = join_counted(members, hubs, "key", "size").select("member", F.explode("hubs").alias("hub")).where("hub <> member").distinct()
-        if labels is not None:
-            near = labels.select(F.col("id").alias("member"), F.col("label").alias("member_label"))
-            far = labels.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            pairs = pairs.join(near, "member", "left").join(far, "hub", "left").where(F.coalesce("member_label", "member") != F.coalesce("hub_label", "hub")).select("hub", "member")
-        found = cut(verify(pairs, docs, similarity).select(F.col("hub").alias("a"), F.col("member").alias("b")))
-        taken += HUBS
-        if found.limit(1).count() == 0:
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    left = unsettled(live, labels, docs, taken, similarity)
+    named = live.select(F.col("rep").alias("id")).distinct()
+    texts = cut(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(named, "id"))
+
+    few = live.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+    full = few.select(F.posexplode("reps").alias("i", "hub"), "reps").select("hub", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("member"))
+    large = live.where(F.col("size") > SMALL)
+    hubs = cut(large.groupBy("key").agg(F.max(F.struct("degree", "rep")).getField("rep").alias("hub"), F.first("size").alias("size")))
+    around = join_counted(large.select("key", F.col("rep").alias("member")), hubs, "key", "size").select("hub", "member")
+    labels = _joined(None, verify(full.unionByName(around).where("hub <> member").distinct(), texts, similarity).select("hub", "member"))
+    left = unsettled(_split(live, labels), texts, similarity)
     if left is not None:
-        found = cut(verify(left, docs, similarity).select(F.col("hub").alias("a"), F.col("member").alias("b")))
-        if found.limit(1).count():
-            labels = components(found if labels is None else found.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))))
+        labels = _joined(labels, verify(left, texts, similarity).select("hub", "member"))
     copies = join_counted(signed.select("doc_id", "print"), prints.select("print", "rep", "copies"), "print", "copies")
     alone = signed.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("class_id"))
     whole = alone.unionByName(docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
