@@ -32,7 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs across documents."""
-    cleaned = line_templates.drop_all_recurring(docs, made=_MADE[:3])
+    cleaned = line_templates.drop_recurring(docs, made=_MADE[:2], keep_copies=True)
     columns = [F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(columns)
 
