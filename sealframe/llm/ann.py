@@ -6,9 +6,12 @@ For a query, rotated alike, the inner product with the code divided by that scal
 cosine, within an error bound that the scalar gives. All vectors whose upper bound reaches the k-th best exact
 cosine so far are ranked again on the original vectors, in double precision.
 
-Queries are held in blocks and vectors in blocks; every pair of blocks is scanned once, the vectors'
-blocks spread over salts so that few query blocks still use all tasks. Each task keeps the best k of each of
-its queries only, and these are merged. All vectors are indexed, and nothing is fitted to them.
+Queries are held in blocks of ``QUERY_BYTES`` and vectors in blocks; every pair of blocks is scanned once, the vectors'
+blocks spread over salts so that few query blocks still use all tasks. A task gets a block of queries once, with the
+vectors behind it, and keeps the best k of each of its queries only; these are merged. All vectors are indexed,
+and nothing is fitted to them. The vectors go with their codes, in their own precision, once for each block of queries: ranking again by a
+join with what the codes leave would move more, as in few dimensions the error bound leaves a good part of all pairs (a fifth at 64
+dimensions without clusters), and pairs grow with the square of the table.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do null ids; vectors are
 compared with those of the same number of components only; a query's own rows (equal id) are no candidates, and of
@@ -29,8 +32,9 @@ from pyspark.sql import Window as W
 
 from .common import bound_batches
 
-#: Queries of one block, on average.
-QUERY_BLOCK = 512
+#: Bytes of one block's queries, on average, and vectors that are scanned at once.
+QUERY_BYTES = 4 << 20
+CHUNK = 256
 #: Parts that the vectors' blocks are dealt over, for each block of queries.
 SALTS = 32
 #: Standard deviations of the estimate that the error bound spans.
@@ -75,6 +79,11 @@ class Best:
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def scan(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalar: np.ndarray) -> None:
+        for at in range(0, len(ids), CHUNK):
+            some = slice(at, at + CHUNK)
+            self._scan(ids[some], vectors[some].astype(np.float64), codes[some], scalar[some])
+
+    def _scan(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalar: np.ndarray) -> None:
         guess, bound = estimate(self.turned, codes, scalar)
         own = self.ids[:, None] == ids[None, :]
         guess[own] = -np.inf
@@ -105,10 +114,11 @@ class Best:
 
 
 def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, vec, size) of the vectors that take part, in double precision."""
+    """(vec_id, vec, size) of the vectors that take part, with components as they are if these are floats, else in double precision."""
     vec = F.col("vec")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    read = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    read = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast(kind).alias("vec"))
     return read.where(F.col("vec_id").isNotNull() & vec.isNotNull() & (F.size(vec) > 0)).where(finite).where(F.exists(vec, lambda x: x != 0)).withColumn("size", F.size(vec))
 
 
@@ -116,10 +126,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     """Per query (a row of ``vectors`` that ``is_query`` holds for) its k nearest other rows: query_id, rank, vec_id, score."""
     bound_batches(vectors.sparkSession)
     usable = _usable(vectors, key, vector)
+    kind = usable.schema["vec"].dataType.elementType.simpleString()
+    number = np.dtype(np.float32 if kind == "float" else np.float64)
     asked = _usable(vectors.where(is_query), key, vector).groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("size", F.size("vec"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    held = asked.agg(F.sum("size")).first()[0] or 0
+    blocks = max(1, -(-held * number.itemsize // QUERY_BYTES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    # Each list holds about QUERY_BLOCK vectors, and there are as many lists as that needs.
+    # Each list holds about QUERY_BYTES, and there are as many lists as that needs.
     lists = asked.groupBy("size", block.alias("block")).agg(F.collect_list(F.struct("vec_id", "vec")).alias("queries"))
     dealt = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -130,32 +143,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
             for size in np.unique(sizes):
                 mine = np.flatnonzero(sizes == size)
                 rows = flat[(ends[mine] - size)[:, None] + np.arange(size)]
-                unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+                unit = rows.astype(np.float64)
+                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
                 codes, scalar = encode(unit)
                 made = [x.tobytes() for x in (ids[mine], rows, codes, scalar)]
                 salt = int(ids[mine[0]]) * 2654435761 % (1 << 32) * SALTS >> 32
                 yield pa.RecordBatch.from_arrays([pa.array([int(size)], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], ["size", "salt", "ids", "rows", "codes", "scalar"])
 
     packed = usable.select("vec_id", "vec", "size").mapInArrow(pack, "size int, salt int, ids binary, rows binary, codes binary, scalar binary")
-    meeting = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, ["size", "block", "salt"])
+    order = ["size", "block", "salt", "vectors"]
+    whole = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("vectors", F.lit(True))
+    both = dealt.withColumn("vectors", F.lit(False)).unionByName(whole, allowMissingColumns=True).repartition("size", "block", "salt").sortWithinPartitions(*order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], Best] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                size, number = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if (size, number) not in best:
-                    queries = batch.column(6)[i].values
-                    vec = np.array(queries.field("vec").flatten()).reshape(-1, size)
-                    best[size, number] = Best(np.array(queries.field("vec_id")), vec, k)
-                ids, rows, codes, scalar = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5))
-                ids = np.frombuffer(ids, np.int64)
-                best[size, number].scan(ids, np.frombuffer(rows).reshape(len(ids), size), np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(scalar))
-        for held in best.values():
-            real = np.isfinite(held.score)
-            columns = [np.repeat(held.ids, k)[real.ravel()], held.found[real], held.score[real]]
+                size, number_of_block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                at = (size, number_of_block)
+                if not batch.column(3)[i].as_py():
+                    if at not in best:
+                        queries = batch.column(4)[i].values
+                        vec = np.array(queries.field("vec").flatten(), np.float64).reshape(-1, size)
+                        best[at] = Best(np.array(queries.field("vec_id")), vec, k)
+                elif at in best:  # else no query has so many components
+                    ids, rows, codes, scalar = (batch.column(c)[i].as_py() for c in (5, 6, 7, 8))
+                    ids = np.frombuffer(ids, np.int64)
+                    best[at].scan(ids, np.frombuffer(rows, number).reshape(len(ids), size), np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(scalar))
+        for block in best.values():
+            real = np.isfinite(block.score)
+            columns = [np.repeat(block.ids, k)[real.ravel()], block.found[real], block.score[real]]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = meeting.select("size", "block", "ids", "rows", "codes", "scalar", "queries").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
+    found = both.select(*order, "queries", "ids", "rows", "codes", "scalar").mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

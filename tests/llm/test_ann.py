@@ -67,7 +67,8 @@ def test_many_equal_vectors(spark):
 
 
 def test_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 200)
+    monkeypatch.setattr(ann, "CHUNK", 13)
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((5, 16))
     rows = single((i, (centre[i % 5] + 0.3 * rng.standard_normal(16)).tolist()) for i in range(2500))
