@@ -13,7 +13,7 @@ form can be read back exactly. The loss mask holds the assistant's texts.
 Cases: a null text or role counts as empty; a null conversation id is a conversation of its own;
 events of equal sequence go by message, event, role and text; a ``delta``, ``edit`` or ``regenerate`` of
 an unknown message opens it; a null message id opens a new message with every event; an unknown event
-counts as ``message``; repeated rows are events of their own; an empty log gives no rows; only the
+counts as ``message``; ids may have any type that sorts; repeated rows are events of their own; an empty log gives no rows; only the
 named columns are read, so other columns may have any names.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bound_batches
 
@@ -151,7 +152,7 @@ def format_conversations(events: DataFrame, conv: str = "conv_id", seq: str = "s
         if made:
             yield packed()
 
-    kind_of_conv = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind_of_conv = to_arrow_type(events.schema[conv].dataType)
     out = ordered.mapInArrow(run, f"conv {kind}, formatted string, loss_start array<bigint>, loss_length array<bigint>")
     return out.withColumnRenamed("conv", conv)
 

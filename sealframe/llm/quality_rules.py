@@ -9,7 +9,8 @@ Arrow batches, against a fixed threshold.
 Cases: a null text counts as empty and has no words, so it fails the base rules; texts of any length
 are read whole; repeated rows give repeated results; without labelled rows of both qualities the
 probability is the share of good rows (1 where there are none), so the base rules decide; an empty
-table gives an empty result; only the named columns are read, so other columns may have any names.
+table gives an empty result; only the named columns are read, so other columns may have any names, but a kept column
+that is named like one made here is an error.
 """
 
 from __future__ import annotations
@@ -143,6 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Regressi
 def apply_rules(docs: DataFrame, model: Regression, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = KEEP) -> DataFrame:
     """Per row of ``docs``: the columns ``keep``, the counts, ``base_failed``, ``kept`` and ``probability``."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    if clash := {*counts, "base_failed", "kept", "probability"} & {k.lower() for k in keep}:
+        raise ValueError(f"columns of these names are made here: {sorted(clash)}")
 
     def run(texts: list[str]) -> list[pa.Array]:
         of = Texts(texts)
@@ -152,4 +155,4 @@ def apply_rules(docs: DataFrame, model: Regression, text: str = "text", keep: tu
 
     out = map_texts(docs, text, keep, run, dict.fromkeys(counts, "bigint") | {"probability": "double"})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return out.select(*keep, *counts, failed.alias("base_failed"), (~failed & (F.col("probability") >= least)).alias("kept"), "probability")
+    return out.select(*(F.col(f"`{k}`") for k in keep), *counts, failed.alias("base_failed"), (~failed & (F.col("probability") >= least)).alias("kept"), "probability")

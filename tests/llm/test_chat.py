@@ -1,3 +1,7 @@
+import datetime
+import decimal
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,3 +60,12 @@ def test_many_conversations_of_one_task(spark):
     got = chat.format_conversations(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
     assert len(got) == 5000
     assert all(chat.read_back(r.formatted) == [("assistant", f"t{r.conv_id + 5000 * k}") for k in range(3)] for r in got)
+
+
+@pytest.mark.parametrize("kind,ids", [("smallint", [3, 4]), ("int", [3, 4]), ("string", ["a", "b"]), ("binary", [b"a", b"b"]), ("date", [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)]), ("decimal(20,3)", [decimal.Decimal("1.500"), decimal.Decimal(2)])])
+def test_ids_of_any_type(spark, kind, ids):
+    rows = [(i, k, "message", None, "assistant", f"{n}{k}") for n, i in enumerate([*ids, None]) for k in range(2)]
+    made = chat.format_conversations(spark.createDataFrame(rows, SCHEMA.replace("conv_id bigint", f"conv_id {kind}")))
+    got = {bytes(r.conv_id) if kind == "binary" and r.conv_id is not None else r.conv_id: chat.read_back(r.formatted) for r in made.collect()}
+    assert got == {i: [("assistant", f"{n}0"), ("assistant", f"{n}1")] for n, i in enumerate([*ids, None])}
+    assert chat.digests(made).count() == 3

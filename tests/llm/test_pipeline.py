@@ -24,7 +24,7 @@ def steps(spark, tmp_path_factory):
 
 def test_columns(steps):
     assert all(s.columns == COLUMNS for s in steps[:-1])
-    assert steps[-1].columns == ["doc_id", "source", "n_tokens", "ids", "round_trip"]
+    assert steps[-1].columns == ["doc_id", "source", "n_tokens", "ids", "round_trip", "slot", "place"]
 
 
 def test_quality(spark, steps):
@@ -66,8 +66,8 @@ def test_run(spark, steps):
 
 
 def test_run_keeps_the_mixed_order(spark, steps):
-    got = sorted(corpus_pipeline.run(spark, DIR).select("doc_id", "position").collect(), key=lambda r: r.position)
-    assert [r.position for r in got] == list(range(len(got)))
+    got = sorted(corpus_pipeline.run(spark, DIR).select("doc_id", "slot", "place").collect(), key=lambda r: (r.slot, r.place))
+    assert len({(r.slot, r.place) for r in got}) == len(got)
     placed = mixing.mix(steps[4], mixing.own_lanes(steps[4])).collect()
     assert [r.doc_id for r in got] == [r.doc_id for r in sorted(placed, key=lambda r: (r.slot, r.place))]
 
@@ -77,7 +77,7 @@ def test_prefixes_hold_the_target_shares(spark, tmp_path, monkeypatch):
     docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"), F.lit(9).cast("bigint").alias("n_chars"))
     docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
-    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).select("position", "source").collect(), key=lambda r: r.position)
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).select("slot", "place", "source").collect(), key=lambda r: (r.slot, r.place))
     weights = mixing.own_lanes(docs)
     names, whole = [f"src{i}" for i in range(20)], sum(weights.values())
     count = dict.fromkeys(names, 0)
@@ -91,7 +91,7 @@ def test_stages_on_hard_rows(spark):
     """Nulls anywhere, empty and long texts, repeated rows, and a table without rows."""
     rows = [(None, None, None, None, None), (1, "", "en", "src0", 0), (2, "word " * 30_000, "en", "src1", 1), (2, "word " * 30_000, "en", "src1", 1), (3, "short", None, None, None)]
     rows += [(10 + i, f"A line in all of them\nand own words {chr(97 + i) * 5} that no other text here has at all", "en", "src2", 1) for i in range(6)]
-    hard = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    hard = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({"made_0": F.lit(1), "Made_1": F.lit("x"), "slot": F.lit(2), "hash": F.lit(3)})
     for table in (hard, hard.where("false")):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, DIR)

@@ -1,8 +1,11 @@
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,7 +13,7 @@ from sealframe.llm import labelled, quality_ranker, quality_rules
 from sealframe.llm.queries import op2_quality, op6_quality_rules
 from sealframe.llm.textstats import Texts
 
-DIR = "/root/testdata/sf0.01"
+DIR, SMALLEST = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def brute(text):
@@ -42,6 +45,115 @@ def test_counts_of_long_words_and_texts():
     assert counted(batch) == [brute(t) for t in batch]
 
 
+GAPS = " \t\n\x0b\x0c\r"
+
+
+def brute_features(text):
+    """The ranker's features, one character and one word at a time."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if x.strip(GAPS)]
+    n_words, word_chars, _, same, repeated = brute(text)
+
+    def kind(c):
+        if c in GAPS:
+            return "gap"
+        if c in "!?":
+            return "loud"
+        if c in "#*$%&|<>":
+            return "symbol"
+        of = unicodedata.category(c)
+        return {"Lu": "upper", "Lt": "upper", "Nd": "digit", "Po": "mark", "Pd": "mark", "Zs": "gap"}.get(of, "letter" if of in ("Ll", "Lo", "Lm", "Mn", "Mc") else "rest")
+
+    count = Counter(map(kind, text))
+    chars, most = max(len(text), 1), max(n_words, 1)
+    shares = [count[k] / chars for k in ("digit", "symbol", "loud", "mark", "gap", "rest")]
+    shares += [count["upper"] / max(count["upper"] + count["letter"], 1), sum(a == b for a, b in zip(words, words[1:], strict=False)) / most, sum(w[-1] in "#*$%&|<>" for w in words) / most, same / max(len(lines), 1), repeated / most]
+    rest = [shares[-1] ** 2, math.log1p(n_words), math.log1p(word_chars / most), math.log1p(len(set(words))) / math.log(most + 2), math.log1p(len(text) / max(len(lines), 1)), float(n_words == 0)]
+    return [*shares, *map(math.sqrt, shares), *rest]
+
+
+HARD = st.lists(st.text(alphabet="abAB é\n\t\x0b #|$!?.,-1٣\xa0漢ǅ😀", max_size=60), min_size=1, max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(HARD)
+def test_features_against_brute_force(batch):
+    assert quality_ranker.features(batch) == pytest.approx(np.array([brute_features(t) for t in batch]))
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores of all documents, from its model and features made one text at a time."""
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_ranker.fit(docs, labels)
+    text = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    for r in op2_quality(spark, DIR).collect():
+        z = [min(max((x - m) / s, -8), 8) for x, m, s in zip(brute_features(text[r.doc_id]), model.mean, model.scale, strict=True)]
+        apart = sum(a * w for a, w in zip(z, model.weights, strict=True)) - model.threshold
+        want = 1 / (1 + math.exp(-(apart / model.spread + math.log(0.7 / 0.3))))
+        assert r.score == pytest.approx(want, abs=1e-9)
+        assert r.predicted == (r.score >= 0.7) and (abs(apart) < 1e-9 or r.predicted == (apart >= 0))
+
+
+def brute_buckets(text):
+    """The regression's inputs: the share of each family's n-grams in every bucket, and the steps of repetition."""
+
+    def bucket(mixed):
+        mixed = ((mixed ^ (mixed >> 15)) * 0x9E3779B1) & 0xFFFFFFFF
+        return mixed >> 22
+
+    words = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    families = [words, [(a * 31 + b) & 0xFFFFFFFF for a, b in zip(words, words[1:], strict=False)]]
+    for order in (1, 2, 3):
+        found = []
+        for i in range(len(text) - order + 1):
+            mixed = 0
+            for c in text[i : i + order]:
+                mixed = ((mixed * 0x01000193) & 0xFFFFFFFF) ^ ord(c)
+            found.append(mixed)
+        families.append(found)
+    out = []
+    for found in families:
+        count = Counter(map(bucket, found))
+        out += [count[i] / len(found) if found else 0.0 for i in range(1024)]
+    n_words, *_, repeated = brute(text)
+    return out + [float(repeated / max(n_words, 1) >= s) for s in (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)]
+
+
+@settings(max_examples=50, deadline=None)
+@given(HARD)
+def test_buckets_against_brute_force(batch):
+    assert quality_rules.features(batch) == pytest.approx(np.array([brute_buckets(t) for t in batch]))
+
+
+def test_verdicts_against_brute_force(spark):
+    """The query's verdicts on whole texts, from its model and buckets counted one n-gram at a time."""
+    docs, labels = (spark.read.parquet(f"{SMALLEST}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.fit(docs, labels)
+    text = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    for r in op6_quality_rules(spark, SMALLEST).collect():
+        raw = float(np.dot(brute_buckets(text[r.doc_id]), model.weights)) + model.bias
+        want = 1 / (1 + math.exp(-(model.slope * raw + model.shift)))
+        assert r.probability == pytest.approx(want, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.probability >= 0.5)
+
+
+def test_calibration_against_brute_force():
+    """Newton's steps end where a search over a fine grid finds the likeliest sigmoid."""
+    rng = np.random.default_rng(5)
+    raw = rng.normal(0, 2, 300)
+    good = rng.random(300) < 1 / (1 + np.exp(-(0.7 * raw - 0.4)))
+    n = good.sum()
+    target = np.where(good, (n + 1) / (n + 2), 1 / (300 - n + 2))
+
+    def loss(a, b):
+        p = 1 / (1 + np.exp(-(a * raw + b)))
+        return -(target * np.log(p) + (1 - target) * np.log(1 - p)).sum()
+
+    a, b = quality_rules.Regression._calibrate(raw, good)
+    grid = min((loss(x, y), x, y) for x in np.arange(0.3, 1.2, 0.01) for y in np.arange(-1, 0.3, 0.01))
+    assert loss(a, b) <= grid[0] + 1e-6 and abs(a - grid[1]) < 0.02 and abs(b - grid[2]) < 0.02
+
+
 def test_many_distinct_words():
     batch = [" ".join(map(str, range(5000))) + " 1 2 3"]
     assert counted(batch) == [brute(batch[0])]
@@ -126,6 +238,8 @@ def test_tables(spark):
     assert ranked.count() == len(rows) and ranked.where("score is null or score < 0 or score > 1").count() == 0
     kept = quality_rules.apply_rules(docs, quality_rules.fit(docs, labels))
     assert kept.count() == len(rows) and kept.where("doc_id >= 900 and (kept or not base_failed)").count() == 0
+    with pytest.raises(ValueError):
+        quality_rules.apply_rules(docs.withColumnRenamed("source", "Kept"), quality_rules.fit(docs, labels), keep=("doc_id", "Kept"))
     none = docs.where("false")
     assert quality_ranker.rank(none, labels).count() == 0
     assert quality_rules.apply_rules(none, quality_rules.fit(none, labels.where("false"))).count() == 0
