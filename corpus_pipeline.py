@@ -2,7 +2,7 @@
 
 Every stage takes all rows that the stage before it kept, and what it decides takes effect: rejected
 documents go, recurring lines go, of near duplicates one document stays, rows take their mixed order,
-and in the end every text is encoded.
+and in the end every text is encoded and stands with its slot and place in the mixed order.
 """
 
 from __future__ import annotations
@@ -14,25 +14,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sealframe.llm import bpe, line_templates, mixing, near_dup, quality_ranker
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_MADE = ("pipeline_made_1", "pipeline_made_2", "pipeline_made_3", "pipeline_made_4")
 _runs = itertools.count()
 
 
+def _fresh(docs: DataFrame, count: int) -> list[str]:
+    """Names that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    return list(itertools.islice((n for n in map("made_{}".format, itertools.count()) if n not in taken), count))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the ranker's threshold."""
     model = quality_ranker.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_ranker.score(docs, model, keep=tuple(docs.columns), made=_MADE[0])
-    return scored.where(F.col(_MADE[0]) >= quality_ranker.THRESHOLD).select(docs.columns)
+    (made,) = _fresh(docs, 1)
+    scored = quality_ranker.score(docs, model, keep=tuple(docs.columns), made=made)
+    return scored.where(F.col(made) >= quality_ranker.THRESHOLD).drop(made)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs across documents."""
-    cleaned = line_templates.drop_recurring(docs, made=_MADE[:2], keep_copies=True)
+    cleaned = line_templates.drop_recurring(docs, made=tuple(_fresh(docs, 2)), keep_copies=True)
     columns = [F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(columns)
 
@@ -44,16 +49,18 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in an order that interleaves their sources to the target weights."""
-    placed = mixing.mix(docs, mixing.own_lanes(docs), made=_MADE)
-    return placed.orderBy(_MADE[2], _MADE[3]).select(docs.columns)
+    made = _fresh(docs, 4)
+    return mixing.mix(docs, mixing.own_lanes(docs), made=tuple(made)).orderBy(*made[2:]).drop(*made)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: its ids, and whether they decode to its text, in mixed order: a table read again does not
-    come in the order of its files, so the order is laid anew, and encoding keeps it."""
-    coded = bpe.encode(mixed(spark, docs, sf_dir), public_tokenizers.path(VOCABULARY), keep=("doc_id", "source", "text"), decoded=True)
+    """Per document: its ids, whether they decode to its text, and its slot and place in the mixed order. A table read again does
+    not come in the order of its files, so these are laid anew: the same rows always get the same ones."""
+    made = _fresh(docs, 4)
+    placed = mixing.mix(docs, mixing.own_lanes(docs), made=tuple(made))
+    coded = bpe.encode(placed, public_tokenizers.path(VOCABULARY), keep=("doc_id", "source", "text", *made[2:]), decoded=True)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", "n_tokens", "ids", whole.alias("round_trip"))
+    return coded.select("doc_id", "source", "n_tokens", "ids", whole.alias("round_trip"), F.col(made[2]).alias("slot"), F.col(made[3]).alias("place"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,18 +75,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def in_order(spark: SparkSession, at: str) -> DataFrame:
-    """The table written to ``at`` with ``position``, its rows' numbers in the order in which they were written."""
-    rows = spark.read.parquet(at).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    # One row a file.
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
-    before = files.select("_file", (F.sum("rows").over(W.orderBy("_file")) - F.col("rows")).alias("_before"))
-    return rows.join(F.broadcast(before), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+def _remove(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each is written to the shared folder and read again by the next.
-    The result has ``position`` besides, the place of the row in the mixed order."""
+    """Apply all stages to the documents; each is written to the shared folder and read again by the next, after which it goes.
+    Sorted by ``slot`` and ``place`` the result is in mixed order."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -87,8 +90,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shared = tempfile.mkdtemp(prefix="corpus-pipeline-")
     folder = f"{shared.rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{next(_runs)}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(at)
-        docs = spark.read.parquet(at)
-    return in_order(spark, at)
+        if before is not None:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(at), at
+    return docs
