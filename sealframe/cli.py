@@ -40,6 +40,9 @@ def archive(spark: SparkSession, given: argparse.Namespace) -> None:
         for row in files.unreadable(found).orderBy("entry_ix").toLocalIterator():
             log("ERROR", "file failed", name=row.name, err=f"[{row.err.code}] {row.err.message}")
         good = files.readable(found)
+        if given.debug:
+            for row in good.select("name", F.octet_length("content").alias("size")).toLocalIterator():
+                log("DEBUG", "archiving", file=row.name, size=row.size)
         seal.seal(good, given.password, given.iterations).write.parquet(f"{work}/entries")
         entries = spark.read.parquet(f"{work}/entries")
         heads = seal.archives(entries, given.password, given.iterations)

@@ -5,8 +5,10 @@ Sealed bytes are random, so queries compare facts about them: contents after a r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import os
 import tempfile
 from collections.abc import Callable
 
@@ -412,12 +414,6 @@ def progress_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, "files_processed, files_errored, bytes_processed", f"{told['files_processed']}L, {told['files_errored']}L, {told['bytes_processed']}L")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '[{c}] it failed')" for c in unseal.CODES) + ") t(code, told)")
-def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _values(spark, "code", *(f"'{c}'" for c in unseal.CODES))
-    return rows.select("code", unseal.error_text(F.struct("code", F.lit("it failed").alias("message"))).alias("told"))
-
-
 @query("SELECT 'archive' AS archive_id, count(*) AS sealed_count, count(*) - 1 AS found FROM nation")
 def missing_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sealed count tells that an entry was taken out."""
@@ -456,6 +452,112 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(container.verify_archives(spark, at), "archive_id").drop("archive_id")
 
 
+def _nations_archive(spark: SparkSession, sf_dir: str) -> str:
+    """The nations in a container: the archive's file."""
+    kept = _written(spark, seal.seal(_nations(spark, sf_dir), PASSWORD, LIGHT), "entries")
+    heads = _written(spark, seal.archives(kept, PASSWORD, LIGHT), "archives")
+    at = _folder(spark, "container")
+    container.write_archives(kept, heads, at)
+    return f"{at}/archive{container.SUFFIX}"
+
+
+#: Damage to a container that nothing can be read from, and what it raises.
+_FATAL = {
+    "no_archive": (lambda raw: bytes(256), "BAD_MAGIC", "invalid magic bytes"),
+    "next_version": (lambda raw: raw[:4] + b"\x02\x00" + raw[6:], "BAD_VERSION", "unsupported version 2"),
+    "short_magic": (lambda raw: raw[:3], "TRUNCATED", "read magic"),
+    "short_version": (lambda raw: raw[:5], "TRUNCATED", "read version"),
+    "short_header": (lambda raw: raw[:50], "TRUNCATED", "read header"),
+}
+
+
+def _damaged(path: str) -> str:
+    """A folder with the archive at ``path`` and one for each kind of fatal damage."""
+    folder, _, name = path.rpartition("/")
+    with open(path, "rb") as file:
+        raw = file.read()
+    for kind, (change, _, _) in _FATAL.items():
+        with open(f"{folder}/{kind}{container.SUFFIX}", "wb") as file:
+            file.write(change(raw))
+    return folder
+
+
+@query("SELECT * FROM (VALUES ('archive', '', '', ''), " + ", ".join(f"('{k}', 'fatal', '{c}', '{m}')" for k, (_, c, m) in _FATAL.items()) + ") t(archive_id, kind, code, message)")
+def fatal_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are no archive: each with the error that reading it raises, beside one that is fine."""
+    read = container.read_headers(spark, _damaged(_nations_archive(spark, sf_dir)))
+    return read.select("archive_id", *(F.coalesce(f"err.{c}", F.lit("")).alias(c) for c in ("kind", "code", "message")))
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of an archive that lacks its last 100 bytes."""
+    path = _nations_archive(spark, sf_dir)
+    with open(path, "rb") as file:
+        raw = file.read()
+    cut = f"{path.rpartition('/')[0]}/cut{container.SUFFIX}"
+    with open(cut, "wb") as file:
+        file.write(raw[:-100])
+    return unseal.unseal(container.read_archives(spark, cut, split_bytes=4096), PASSWORD, LIGHT)
+
+
+@query("SELECT n_nationkey AS entry_ix, n_nationkey < m AS ok, CASE WHEN n_nationkey < m THEN strlen(n_name) ELSE -1 END AS size, CASE WHEN n_nationkey < m THEN '' ELSE 'TRUNCATED' END AS code FROM nation, (SELECT max(n_nationkey) AS m FROM nation)")
+def cut_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entry is cut off; all before it open."""
+    return _cut(spark, sf_dir).select(F.col("entry_ix").cast("int").alias("entry_ix"), "ok", F.coalesce("size", F.lit(-1)).alias("size"), F.coalesce("err.code", F.lit("")).alias("code"))
+
+
+def _one_unwritable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opened entries written to a folder in which one of their names is a folder already."""
+    at = _folder(spark, "unwritable")
+    os.makedirs(f"{at}/NATION_7")
+    return files.write_files(unseal.unseal(seal.seal(_nations(spark, sf_dir), PASSWORD, LIGHT), PASSWORD, LIGHT), at)
+
+
+@query("SELECT 'nations/' || n_name AS filename, n_name <> 'NATION_7' AS ok, CASE WHEN n_name = 'NATION_7' THEN 'recoverable' ELSE '' END AS kind, CASE WHEN n_name = 'NATION_7' THEN 'WRITE_FAILED' ELSE '' END AS code FROM nation")
+def unwritable_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _one_unwritable(spark, sf_dir).select("filename", "ok", *(F.coalesce(f"err.{c}", F.lit("")).alias(c) for c in ("kind", "code")))
+
+
+_TOLD = ["[BAD_MAGIC] invalid magic bytes", "[BAD_VERSION] unsupported version 2", "[TRUNCATED] read magic", "[TRUNCATED] read version", "[TRUNCATED] read header", "[AUTH_FAILED] decrypt metadata", "[INTEGRITY_FAIL] plaintext HMAC mismatch", "[WRITE_FAILED] write file", "[READ_FAILED] read file"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in _TOLD) + ") t(told)")
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code as it is printed where it comes up."""
+    fatal = container.read_headers(spark, _damaged(_nations_archive(spark, sf_dir))).select("err")
+    sealed = seal.seal(_nations(spark, sf_dir), PASSWORD, LIGHT)
+    wrong = unseal.unseal(sealed, WRONG, LIGHT).select("err")
+    short = unseal.unseal(sealed.withColumn("blocks", F.slice("blocks", F.lit(1), F.size("blocks") - 1)), PASSWORD, LIGHT).select("err")
+    gone = files.read_files(spark, [f"{_folder(spark, 'none')}/gone"]).select("err")
+    rows = [fatal, wrong, short, _one_unwritable(spark, sf_dir).select("err"), gone]
+    return functools.reduce(DataFrame.unionByName, rows).where("err is not null").select(unseal.error_text(F.col("err")).alias("told")).distinct()
+
+
+_PASSWORDS = ["", "short", "sevenbt", "eight by", "ééééé", "a password for tests"]
+
+
+@query("SELECT password, strlen(password) >= 8 AS accepted FROM (VALUES " + ", ".join(f"('{w}')" for w in _PASSWORDS) + ") t(password)")
+def password_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which passwords may seal: what the check raises, in UTF-8 bytes."""
+
+    def accepted(password: str) -> bool:
+        try:
+            return secrets.check_password(password) == password
+        except ValueError:
+            return False
+
+    return _values(spark, "password, accepted", *(f"'{w}', {str(accepted(w)).lower()}" for w in _PASSWORDS))
+
+
+@query("""SELECT n_nationkey AS entry_ix, 'nations/' || n_name AS filename, strlen(n_name) AS size, true AS ok FROM nation""")
+def serial_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed by one task, entry after entry."""
+    kept = _written(spark, seal.seal(_nations(spark, sf_dir), PASSWORD, LIGHT, spread=1), "serial")
+    if kept.rdd.getNumPartitions() != 1:
+        raise AssertionError("serial sealing wrote several parts")
+    return unseal.unseal(kept, PASSWORD, LIGHT).select(F.col("entry_ix").cast("int").alias("entry_ix"), "filename", "size", "ok")
+
+
 @query("SELECT 'nations/' || n_name AS filename, true AS ok, strlen(n_name) AS size, hex(encode(n_name)) AS content, '' AS code FROM nation UNION ALL SELECT 'gone', false, -1, '', 'READ_FAILED'")
 def file_source_and_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opened entries written as files, and the files, with one that is missing, read by path."""

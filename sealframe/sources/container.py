@@ -1,7 +1,8 @@
 """The single-file container: a data source that reads and writes archives of sealed entries.
 
-Reading: all lengths are in the clear, so the driver walks a file by seeking and splits it at entries;
-executors read their byte ranges. Every length is checked against the file's size before anything is read.
+Reading: all lengths are in the clear, so a task walks each file by seeking and tells where its entries are; other tasks
+read ranges of them, so a large archive is read by many. The driver only lists files. Every length is checked against the file's size
+before anything is read.
 Writing: an archive's digest runs over its bytes in order, so an archive is written by one task, streaming;
 archives are written in parallel. A file takes its name only when the job commits.
 """
@@ -16,12 +17,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import codec
 from ..operators import chunk
+from ..operators.unseal import ERROR_TYPE, FATAL
 
 NAME = "sealed"
 SUFFIX = ".sealed"
@@ -33,6 +36,10 @@ FOOTER_BYTES = codec.DIGEST_BYTES + codec.RESERVED_BYTES
 FRAME_HEADER_BYTES = 32
 #: Bytes of entries that one read partition takes, about.
 SPLIT_BYTES = 64 << 20
+#: Bytes that a read partition has at least, bytes of entries handed on at once, and tasks at most.
+LEAST_SPLIT = 1 << 18
+READ_BYTES = 4 << 20
+MOST_TASKS = 10_000
 
 
 class ArchiveError(Exception):
@@ -127,40 +134,33 @@ def walk(path: str) -> list[tuple[int, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Whole(InputPartition):
     path: str
-    first: int
-    bounds: list[tuple[int, int]]
 
 
 def paths_of(path: str) -> list[str]:
     return sorted(glob.glob(os.path.join(glob.escape(path), f"*{SUFFIX}"))) if os.path.isdir(path) else [path]
 
 
+def archive_id(path: str) -> str:
+    return os.path.basename(path).removesuffix(SUFFIX)
+
+
 class Reader(DataSourceReader):
+    """One task an archive; ``read_archives`` splits archives."""
+
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.split = int(options.get("splitbytes", SPLIT_BYTES))
-
-    def partitions(self) -> list[Range]:
-        out: list[Range] = []
-        for path in paths_of(self.path):
-            size = self.split
-            for ix, bounds in enumerate(walk(path)):
-                if size >= self.split:
-                    out.append(Range(path, ix, []))
-                    size = 0
-                out[-1].bounds.append(bounds)
-                size += bounds[1] - bounds[0]
-        return out or [Range("", 0, [])]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.bounds:
+
+    def partitions(self) -> list[Whole]:
+        return [Whole(p) for p in paths_of(self.path)] or [Whole("")]
+
+    def read(self, partition: Whole) -> Iterator[tuple]:
+        if not partition.path:
             return
-        name = os.path.basename(partition.path).removesuffix(SUFFIX)
         with open(partition.path, "rb") as file:
-            for ix, (begin, end) in enumerate(partition.bounds, partition.first):
-                yield (name, ix, *read_entry(Cursor(file, begin + 1, end))[0])
+            for ix, (begin, end) in enumerate(walk(partition.path)):
+                yield (archive_id(partition.path), ix, *read_entry(Cursor(file, begin + 1, end))[0])
 
 
 @dataclass
@@ -224,10 +224,61 @@ class SealedSource(DataSource):
         return Writer(self.options)
 
 
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), MOST_TASKS)), "path")
+
+
 def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The entries of an archive file, or of all archives in a folder."""
-    spark.dataSource.register(SealedSource)
-    return spark.read.format(NAME).option("splitBytes", split_bytes).load(path)
+    """The entries of an archive file, or of all archives in a folder. What is no archive fails the job that reads it, a single file at once."""
+    paths = paths_of(path)
+    if len(paths) == 1:
+        read_header(paths[0])
+    # One row an entry: where it stands.
+    places = pa.schema([("path", pa.string()), ("entry_ix", pa.int64()), ("first", pa.int64()), ("past", pa.int64())])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                found = walk(file)
+                columns = [[file] * len(found), range(len(found)), [x for x, _ in found], [x for _, x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, places.types, strict=True)], schema=places)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.binary()), *[pa.binary()] * 3]
+        for batch in batches:
+            rows, size = [], 0
+            for name, ix, begin, past in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                with open(name, "rb") as file:
+                    rows.append((archive_id(name), ix, *read_entry(Cursor(file, begin + 1, past))[0]))
+                size += past - begin
+                if size > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    parts = 1 + min(MOST_TASKS, 2 * sum(map(os.path.getsize, paths)) // max(split_bytes, LEAST_SPLIT))
+    indexed = _listed(spark, paths).mapInArrow(index, "path string, entry_ix bigint, first bigint, past bigint")
+    dealt = indexed.repartition(parts, "path", F.expr(f"first div {split_bytes}"))
+    return dealt.mapInArrow(read, ENTRIES)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Per archive file its id, and ``err`` if it cannot be read as an archive at all."""
+
+    @F.udf(ERROR_TYPE)
+    def failed(file):
+        try:
+            read_header(file)
+        except ArchiveError as problem:
+            return FATAL, problem.code, str(problem).partition("] ")[2]
+
+    return _listed(spark, paths_of(path)).select(_id_of("path"), failed("path").alias("err"))
+
+
+def _id_of(path: str) -> Column:
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.sealed$", "").alias("archive_id")
 
 
 def entry_body(entries: DataFrame) -> DataFrame:
@@ -275,11 +326,9 @@ def digest_fits(path: str, piece: int = 1 << 20) -> bool:
 def verify_archives(spark: SparkSession, path: str) -> DataFrame:
     """Per archive file: its id and whether its digest fits (null if it is too small to have one). One task per file."""
     paths = paths_of(path)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
 
     @F.udf("boolean")
     def fits(file):
         return digest_fits(file) if os.path.getsize(file) >= FOOTER_BYTES else None
 
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.sealed$", "")
-    return listed.select(name.alias("archive_id"), fits("path").alias("digest_ok"))
+    return _listed(spark, paths).select(_id_of("path"), fits("path").alias("digest_ok"))
