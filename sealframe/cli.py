@@ -6,8 +6,8 @@ import argparse
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import secrets
 from .operators import seal, unseal
 from .plans.metrics import report
-from .sources import container, files
+from .sources import container, large, storage
 
 
 def session(parallel: int) -> SparkSession:
@@ -32,35 +32,35 @@ def log(level: str, message: str, **more: object) -> None:
 def archive(spark: SparkSession, given: argparse.Namespace) -> None:
     secrets.check_password(given.password)
     began = time.time()
-    folder, name = os.path.split(os.path.abspath(given.output))
-    with tempfile.TemporaryDirectory(dir=folder) as work:
-        found = files.read_files(spark, given.files, archive_id="archive")
-        found.write.parquet(f"{work}/files")
-        found = spark.read.parquet(f"{work}/files")
-        for row in files.unreadable(found).orderBy("entry_ix").toLocalIterator():
+    folder, _, name = (given.output if "://" in given.output else os.path.abspath(given.output)).rpartition("/")
+    work = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    try:
+        large.seal_files(spark, given.files, given.password, given.iterations).write.parquet(f"{work}/parts")
+        parts = spark.read.parquet(f"{work}/parts")
+        for row in parts.where("err is not null").orderBy("entry_ix").toLocalIterator():
             log("ERROR", "file failed", name=row.name, err=f"[{row.err.code}] {row.err.message}")
-        good = files.readable(found)
+        good = large.heads(parts)
         if given.debug:
-            for row in good.select("name", F.octet_length("content").alias("size")).toLocalIterator():
+            for row in good.select("name", "size").toLocalIterator():
                 log("DEBUG", "archiving", file=row.name, size=row.size)
-        seal.seal(good, given.password, given.iterations).write.parquet(f"{work}/entries")
-        entries = spark.read.parquet(f"{work}/entries")
-        heads = seal.archives(entries, given.password, given.iterations)
+        heads = seal.archives(good, given.password, given.iterations)
         if not heads.head(1):
             salt, nonce = os.urandom(32), os.urandom(12)
             one = spark.createDataFrame([("archive", salt, nonce, secrets.derive(given.password, salt, given.iterations))], "archive_id string, archive_salt binary, nonce binary, key binary")
             heads = one.select("archive_id", F.lit(1).alias("version"), "archive_salt", F.aes_encrypt(F.unhex(F.lit("00" * 8)), "key", F.lit("GCM"), F.lit("DEFAULT"), "nonce").alias("file_count_sealed"))
         heads.write.parquet(f"{work}/archives")
-        container.write_archives(entries, spark.read.parquet(f"{work}/archives"), f"{work}/out")
-        os.replace(f"{work}/out/archive{container.SUFFIX}", os.path.join(folder, name))
-        total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()
+        large.write_archives(parts, spark.read.parquet(f"{work}/archives"), f"{work}/out")
+        storage.move(f"{work}/out/archive{container.SUFFIX}", f"{folder}/{name}")
+        total = good.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    finally:
+        storage.remove_folder(work)
     print(report(total[0], total[1], time.time() - began))
 
 
 def extract(spark: SparkSession, given: argparse.Namespace) -> None:
-    opened = unseal.unseal(container.read_archives(spark, given.archive), given.password, given.iterations)
+    opened = large.open_parts(large.read_parts(spark, given.archive), given.password, given.iterations, folder=given.output)
     ok = failed = 0
-    for row in files.write_files(opened, given.output).orderBy("entry_ix").toLocalIterator():
+    for row in opened.orderBy("entry_ix").toLocalIterator():
         ok, failed = ok + row.ok, failed + (not row.ok)
         if not row.ok:
             print(f"  ERROR {row.filename or ''}: [{row.err.code}] {row.err.message}")
@@ -72,7 +72,7 @@ def extract(spark: SparkSession, given: argparse.Namespace) -> None:
 
 
 def verify(spark: SparkSession, given: argparse.Namespace) -> None:
-    if os.path.getsize(given.archive) < container.FOOTER_BYTES:
+    if storage.size(given.archive) < container.FOOTER_BYTES:
         raise RuntimeError("archive too small to contain a valid footer")
     if not container.digest_fits(given.archive):
         raise RuntimeError("integrity check FAILED: archive has been tampered with")
@@ -82,7 +82,7 @@ def verify(spark: SparkSession, given: argparse.Namespace) -> None:
 def listing(spark: SparkSession, given: argparse.Namespace) -> None:
     print(f"{'FILENAME':<40}  SIZE BUCKET\n{'--------':<40}  -----------")
     count = 0
-    for row in unseal.listing(container.read_archives(spark, given.archive), given.password, given.iterations).orderBy("entry_ix").toLocalIterator():
+    for row in unseal.listing(large.read_heads(spark, given.archive), given.password, given.iterations).orderBy("entry_ix").toLocalIterator():
         if row.err is None:
             print(f"{row.filename:<40}  {row.bucket_label}")
             count += 1

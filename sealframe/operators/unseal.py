@@ -23,18 +23,19 @@ def error_text(err: Column) -> Column:
     return F.format_string("[%s] %s", err["code"], err["message"])
 
 
-def _keyed(entries: DataFrame, password: str, iterations: int) -> DataFrame:
+def keyed(entries: DataFrame, password: str, iterations: int) -> DataFrame:
     return entries.withColumn("secret", secrets.derived_key(F.col("entry_salt"), password, iterations))
 
 
-def _named(keyed: DataFrame) -> DataFrame:
-    """With ``meta`` and ``filename``; null where they do not open."""
+def named(entries: DataFrame) -> DataFrame:
+    """``entries`` that have a ``secret`` with ``meta`` and ``filename``; null where they do not open."""
     key = F.col("secret.key")
-    meta = keyed.withColumn("meta_plain", codec.open_bytes(F.col("meta_sealed"), key)).withColumn("meta", codec.unpack_metadata(F.col("meta_plain")))
+    meta = entries.withColumn("meta_plain", codec.open_bytes(F.col("meta_sealed"), key)).withColumn("meta", codec.unpack_metadata(F.col("meta_plain")))
     return meta.withColumn("name_plain", codec.open_bytes(F.col("meta.name"), key)).withColumn("filename", F.decode("name_plain", "UTF-8"))
 
 
-def _name_errors(chain=F):
+def error_chain(chain=F):
+    """The errors of what ``named`` made, first to last; more can be added."""
     return (
         chain.when(F.col("meta_sealed").isNull(), error("TRUNCATED", "read metadata ciphertext"))
         .when(F.col("meta_plain").isNull() | F.col("meta").isNull(), error("AUTH_FAILED", "decrypt metadata"))
@@ -49,12 +50,12 @@ def unseal(entries: DataFrame, password: str, iterations: int = secrets.ITERATIO
     these that fails gives ``err``, and content and size are null. Other entries are not affected.
     """
     key = F.col("secret.key")
-    named = _named(_keyed(entries, password, iterations))
-    opened = named.withColumn("pieces", F.transform("blocks", lambda b: codec.open_bytes(b, key))).withColumn("hmac", codec.open_bytes(F.col("hmac_sealed"), key))
+    told = named(keyed(entries, password, iterations))
+    opened = told.withColumn("pieces", F.transform("blocks", lambda b: codec.open_bytes(b, key))).withColumn("hmac", codec.open_bytes(F.col("hmac_sealed"), key))
     whole = opened.withColumn("pieces_ok", F.col("pieces").isNotNull() & F.forall("pieces", lambda p: p.isNotNull()))
     whole = whole.withColumn("plain", F.when(F.col("pieces_ok"), chunk.joined(F.col("pieces"))))
     err = (
-        _name_errors()
+        error_chain()
         .when(F.col("blocks").isNull() | F.exists("blocks", lambda b: b.isNull()), error("TRUNCATED", "read block ciphertext"))
         .when(~F.col("pieces_ok"), error("AUTH_FAILED", "decrypt block"))
         .when(F.col("hmac_sealed").isNull(), error("TRUNCATED", "read HMAC sealed"))
@@ -78,8 +79,8 @@ def unseal(entries: DataFrame, password: str, iterations: int = secrets.ITERATIO
 def listing(entries: DataFrame, password: str, iterations: int = secrets.ITERATIONS) -> DataFrame:
     """Names and size classes of all entries; blocks are neither read nor opened. Entries that do not open have
     null names and an error."""
-    named = _named(_keyed(entries.select("archive_id", "entry_ix", "entry_salt", "meta_sealed"), password, iterations))
-    judged = named.withColumn("err", _name_errors())
+    told = named(keyed(entries.select("archive_id", "entry_ix", "entry_salt", "meta_sealed"), password, iterations))
+    judged = told.withColumn("err", error_chain())
     return judged.select("archive_id", "entry_ix", "filename", F.col("meta.bucket").alias("size_bucket"), F.when(F.col("err").isNull(), codec.bucket_label(F.col("meta.bucket"))).alias("bucket_label"), F.col("meta.day_hash").alias("day_hash"), F.col("meta.mode").alias("mode"), "err")
 
 
@@ -102,8 +103,8 @@ def collisions(results: DataFrame) -> DataFrame:
 
 def missing_entries(archives: DataFrame, entries: DataFrame, password: str, iterations: int = secrets.ITERATIONS) -> DataFrame:
     """Archives whose sealed count and rows differ (a sealed count of 0, as older writers leave it, says nothing)."""
-    keyed = archives.withColumn("secret", secrets.derived_key(F.col("archive_salt"), password, iterations))
-    told = keyed.select("archive_id", codec.from_le(F.substring(codec.open_bytes(F.col("file_count_sealed"), F.col("secret.key")), 1, 7)).alias("sealed_count"))
+    known = archives.withColumn("secret", secrets.derived_key(F.col("archive_salt"), password, iterations))
+    told = known.select("archive_id", codec.from_le(F.substring(codec.open_bytes(F.col("file_count_sealed"), F.col("secret.key")), 1, 7)).alias("sealed_count"))
     found = entries.groupBy("archive_id").agg(F.count(F.lit(1)).alias("found"))
     both = told.join(found, "archive_id", "left").select("archive_id", "sealed_count", F.coalesce("found", F.lit(0)).alias("found"))
     return both.where("sealed_count is null or (sealed_count <> 0 and sealed_count <> found)")

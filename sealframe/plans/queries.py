@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, secrets
 from ..operators import chunk, seal, unseal
-from ..sources import container, files
+from ..sources import container, files, large
 from ..streaming import seal_stream
 from . import metrics, sql_functions
 
@@ -570,6 +570,20 @@ def file_source_and_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(name.alias("filename"), F.col("err").isNull().alias("ok"), F.coalesce(F.octet_length("content"), F.lit(-1)).cast("bigint").alias("size"), F.coalesce(F.hex("content"), F.lit("")).alias("content"), F.coalesce("err.code", F.lit("")).alias("code"))
 
 
+@query(f"SELECT 'volume_' || volume AS filename, strlen(body) AS size, true AS ok, sha256(body) AS content_sha256, CAST(1 AS BIGINT) AS heads FROM ({_VOLUME_SQL})")
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files sealed block by block, through an archive that is read in ranges, to files again: none is ever one value."""
+    at = _folder(spark, "large")
+    rows = _volumes(spark, sf_dir).select("archive_id", "entry_ix", F.col("name").alias("filename"), F.octet_length("content").cast("bigint").alias("size"), F.lit(True).alias("ok"), F.lit(None).cast(unseal.ERROR_TYPE).alias("err"), "content", "mode")
+    names = [r.filename for r in files.write_files(rows, f"{at}/files").collect()]  # the paths to read: a list on the driver by nature
+    parts = _written(spark, large.seal_files(spark, [f"{at}/files/{n}" for n in names], PASSWORD, LIGHT), "parts")
+    heads = _written(spark, seal.archives(large.heads(parts), PASSWORD, LIGHT), "archives")
+    large.write_archives(parts, heads, f"{at}/out")
+    opened = large.open_parts(large.read_parts(spark, f"{at}/out", split_bytes=1 << 20), PASSWORD, LIGHT)
+    listed = unseal.listing(large.read_heads(spark, f"{at}/out"), PASSWORD, LIGHT).groupBy("filename").agg(F.count(F.lit(1)).alias("heads"))
+    return opened.join(listed, "filename").select("filename", "size", "ok", F.col("sha256").alias("content_sha256"), "heads")
+
+
 @query("""SELECT doc_id, strlen("text") AS size, true AS ok, sha256("text") AS content_sha256 FROM documents""")
 def stream_seal_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream, sealed batch by batch, then opened."""

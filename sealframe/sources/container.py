@@ -9,7 +9,6 @@ archives are written in parallel. A file takes its name only when the job commit
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import os
 import struct
@@ -25,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..functions import codec
 from ..operators import chunk
 from ..operators.unseal import ERROR_TYPE, FATAL
+from . import storage
 
 NAME = "sealed"
 SUFFIX = ".sealed"
@@ -98,7 +98,7 @@ def read_entry(cursor: Cursor) -> tuple[list, bool]:
 
 def read_header(path: str) -> tuple[bytes, bytes]:
     """The archive's salt and sealed file count; raises for what is no archive."""
-    with open(path, "rb") as file:
+    with storage.reading(path) as file:
         raw = file.read(codec.HEADER_BYTES)
     if len(raw) < len(codec.MAGIC):
         raise ArchiveError("TRUNCATED", "read magic")
@@ -117,9 +117,9 @@ def walk(path: str) -> list[tuple[int, int]]:
     """Start and end of every entry. The footer is told by the file's size; the walk ends at an entry
     that is cut off (which counts), or at an unknown type."""
     read_header(path)
-    end = os.path.getsize(path) - FOOTER_BYTES
+    end = storage.size(path) - FOOTER_BYTES
     found, at = [], codec.HEADER_BYTES
-    with open(path, "rb") as file:
+    with storage.reading(path) as file:
         while at < end:
             file.seek(at)
             if file.read(1) != bytes([codec.ENTRY_FILE]):
@@ -139,7 +139,7 @@ class Whole(InputPartition):
 
 
 def paths_of(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(glob.escape(path), f"*{SUFFIX}"))) if os.path.isdir(path) else [path]
+    return [storage.join(path, n) for n in storage.names(path) if n.endswith(SUFFIX) and not n.startswith(".")] if storage.is_folder(path) else [path]
 
 
 def archive_id(path: str) -> str:
@@ -158,7 +158,7 @@ class Reader(DataSourceReader):
     def read(self, partition: Whole) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as file:
+        with storage.reading(partition.path) as file:
             for ix, (begin, end) in enumerate(walk(partition.path)):
                 yield (archive_id(partition.path), ix, *read_entry(Cursor(file, begin + 1, end))[0])
 
@@ -169,14 +169,14 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Rows (archive_id, entry_ix, head, body), an archive's rows together and in order."""
+    """Rows (archive_id, body), an archive's rows together and in order."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
+        storage.make_folder(self.path)
         files: list[tuple[str, str]] = []
         current, file, digest = None, None, None
 
@@ -188,25 +188,25 @@ class Writer(DataSourceWriter):
         for row in iterator:
             if row.archive_id != current:
                 close()
+                if not row.body.startswith(codec.MAGIC):
+                    raise ValueError(f"entries of {row.archive_id}, which is not among the archives")
                 current = row.archive_id
-                target = os.path.join(self.path, f"{current}{SUFFIX}")
-                files.append((os.path.join(self.path, f".{current}-{self.job}-{uuid.uuid4().hex}"), target))
-                file, digest = open(files[-1][0], "wb"), hashlib.sha256()  # noqa: SIM115
-                file.write(row.head)
-                digest.update(row.head)
-            if row.body is not None:
-                file.write(row.body)
-                digest.update(row.body)
+                target = storage.join(self.path, f"{current}{SUFFIX}")
+                files.append((storage.join(self.path, f".{current}-{self.job}-{uuid.uuid4().hex}"), target))
+                file, digest = storage.writing(files[-1][0]), hashlib.sha256()
+            file.write(row.body)
+            digest.update(row.body)
         close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         for made, target in (x for m in messages if m for x in m.files):
-            os.replace(made, target)
+            storage.move(made, target)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for left in glob.glob(os.path.join(glob.escape(self.path), f".*-{self.job}-*")):
-            os.remove(left)
+        for left in storage.names(self.path) if storage.is_folder(self.path) else ():
+            if left.startswith(".") and f"-{self.job}-" in left:
+                storage.remove(storage.join(self.path, left))
 
 
 class SealedSource(DataSource):
@@ -248,7 +248,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
         for batch in batches:
             rows, size = [], 0
             for name, ix, begin, past in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                with open(name, "rb") as file:
+                with storage.reading(name) as file:
                     rows.append((archive_id(name), ix, *read_entry(Cursor(file, begin + 1, past))[0]))
                 size += past - begin
                 if size > READ_BYTES:
@@ -258,7 +258,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names = [x.split()[0] for x in ENTRIES.split(", ")]
-    parts = 1 + min(MOST_TASKS, 2 * sum(map(os.path.getsize, paths)) // max(split_bytes, LEAST_SPLIT))
+    parts = 1 + min(MOST_TASKS, 2 * sum(map(storage.size, paths)) // max(split_bytes, LEAST_SPLIT))
     indexed = _listed(spark, paths).mapInArrow(index, "path string, entry_ix bigint, first bigint, past bigint")
     dealt = indexed.repartition(parts, "path", F.expr(f"first div {split_bytes}"))
     return dealt.mapInArrow(read, ENTRIES)
@@ -299,21 +299,31 @@ def entry_body(entries: DataFrame) -> DataFrame:
     return entries.select("archive_id", "entry_ix", body.alias("body"))
 
 
+def archive_head() -> Column:
+    """The bytes an archive begins with, from the columns of ``operators.seal.archives``."""
+    return F.concat(codec.binary(codec.MAGIC), codec.le(F.col("version"), 2), F.col("archive_salt"), F.col("file_count_sealed"), codec.binary(bytes(codec.RESERVED_BYTES)))
+
+
+def write_rows(rows: DataFrame, archives: DataFrame, path: str) -> None:
+    """Write rows (archive_id, entry_ix, order, body) to files in the folder ``path``, one for each of ``archives``, in order."""
+    rows.sparkSession.dataSource.register(SealedSource)
+    none = F.lit(None).cast("bigint")  # comes first
+    whole = archives.select("archive_id", none.alias("entry_ix"), none.alias("order"), archive_head().alias("body")).unionByName(rows)
+    ordered = whole.select("archive_id", "entry_ix", "order", "body").repartition("archive_id").sortWithinPartitions("archive_id", "entry_ix", "order")
+    ordered.select("archive_id", "body").write.format(NAME).mode("append").save(path)
+
+
 def write_archives(entries: DataFrame, archives: DataFrame, path: str) -> None:
     """Write every archive to a file of its own in the folder ``path``. Both tables must be materialised."""
-    spark = entries.sparkSession
-    spark.dataSource.register(SealedSource)
-    head = F.concat(codec.binary(codec.MAGIC), codec.le(F.col("version"), 2), F.col("archive_salt"), F.col("file_count_sealed"), codec.binary(bytes(codec.RESERVED_BYTES)))
-    rows = archives.select("archive_id", head.alias("head")).join(entry_body(entries), "archive_id", "left")
-    ordered = rows.select("archive_id", "entry_ix", "head", "body").repartition("archive_id").sortWithinPartitions("archive_id", "entry_ix")
-    ordered.write.format(NAME).mode("append").save(path)
+    bodies = entry_body(entries).select("archive_id", "entry_ix", F.lit(0).cast("bigint").alias("order"), "body")
+    write_rows(bodies, archives, path)
 
 
 def digest_fits(path: str, piece: int = 1 << 20) -> bool:
     """Whether a container's digest fits its bytes; read in pieces, so files of any size will do."""
-    left = os.path.getsize(path) - FOOTER_BYTES
+    left = storage.size(path) - FOOTER_BYTES
     digest = hashlib.sha256()
-    with open(path, "rb") as file:
+    with storage.reading(path) as file:
         while left > 0:
             part = file.read(min(piece, left))
             if not part:
@@ -329,6 +339,6 @@ def verify_archives(spark: SparkSession, path: str) -> DataFrame:
 
     @F.udf("boolean")
     def fits(file):
-        return digest_fits(file) if os.path.getsize(file) >= FOOTER_BYTES else None
+        return digest_fits(file) if storage.size(file) >= FOOTER_BYTES else None
 
     return _listed(spark, paths).select(_id_of("path"), fits("path").alias("digest_ok"))

@@ -1,4 +1,4 @@
-"""Files in and out, by path, on storage that driver and executors share.
+"""Files in and out, by path or URI, on storage that driver and executors share (``storage``).
 
 The built-in binary source leaves out empty files and names that begin with '.' or '_', and fails on a missing
 path; here each path gives a row, with an error where it cannot be read.
@@ -6,9 +6,7 @@ path; here each path gives a row, with an error where it cannot be read.
 
 from __future__ import annotations
 
-import datetime
 import os
-import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.unseal import RECOVERABLE
+from . import storage
 
 FILES = "archive_id string, entry_ix bigint, name string, content binary, mtime timestamp, mode int, err struct<kind: string, code: string, message: string>"
 _MADE = ["archive_id", "entry_ix", "name", "content", "mtime", "mode", "err"]
@@ -33,10 +32,10 @@ def read_files(spark: SparkSession, paths: list[str], archive_id: str = "archive
             for ix, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 content, when, mode, err = None, None, None, None
                 try:
-                    with open(path, "rb") as file:
-                        found = os.fstat(file.fileno())
+                    found = storage.about(path)
+                    with storage.reading(path) as file:
                         content = file.read()
-                    when, mode = datetime.datetime.fromtimestamp(found.st_mtime, datetime.UTC), stat.S_IMODE(found.st_mode)
+                    when, mode = found.mtime, found.mode
                 except OSError:
                     err = {"kind": RECOVERABLE, "code": "READ_FAILED", "message": "read file"}
                 name = os.path.basename(path.rstrip("/")) or ("/" if path else ".")
@@ -72,12 +71,12 @@ def write_files(results: DataFrame, folder: str) -> DataFrame:
                 content, mode = row.pop("content"), row.pop("mode")
                 if not row["ok"]:
                     continue
-                target = os.path.join(folder, os.path.basename(row["filename"].rstrip("/")) or ".")
+                target = storage.join(folder, os.path.basename(row["filename"].rstrip("/")) or ".")
                 try:
-                    os.makedirs(folder, mode=0o755, exist_ok=True)
-                    with open(target, "wb") as file:
+                    storage.make_folder(folder)
+                    with storage.writing(target) as file:
                         file.write(content)
-                    os.chmod(target, mode & 0o777)
+                    storage.set_mode(target, mode)
                 except OSError:
                     row |= {"ok": False, "size": None, "err": {"kind": RECOVERABLE, "code": "WRITE_FAILED", "message": "write file"}}
             names = [f.name for f in schema]

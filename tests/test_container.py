@@ -3,11 +3,12 @@ import os
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from sealframe import cli
 from sealframe.functions import codec, secrets
 from sealframe.operators import seal, unseal
-from sealframe.sources import container, files
+from sealframe.sources import container, files, large, storage
 from sealframe.streaming import seal_stream
 from tests.test_seal import PASSWORD, file_rows
 
@@ -145,3 +146,99 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert (tmp_path / "out/one.txt").read_bytes() == b"roundtrip test data" * 500
     assert cli.main(["extract", "-p", "wrongpassword", "-a", made, "-o", str(tmp_path / "bad"), *few]) == 1
     assert secrets.ITERATIONS == 100_000
+
+
+@pytest.fixture(scope="module")
+def parted(spark, tmp_path_factory):
+    """Files sealed in parts, and their archive, with all paths given as URIs."""
+    at = tmp_path_factory.mktemp("parted")
+    (at / "empty").write_bytes(b"")
+    (at / "short").write_bytes(b"short")
+    (at / "long").write_bytes(bytes(range(256)) * 4000)
+    (at / "short").chmod(0o600)
+    uris = [f"file://{at}/{n}" for n in ("empty", "short", "none", "long")]
+    large.seal_files(spark, uris, PASSWORD, 10).write.parquet(f"{at}/parts")
+    made = spark.read.parquet(f"{at}/parts")
+    seal.archives(large.heads(made), PASSWORD, 10).write.parquet(f"{at}/archives")
+    large.write_archives(made, spark.read.parquet(f"{at}/archives"), f"file://{at}/out")
+    return at
+
+
+CONTENTS = [b"", b"short", bytes(range(256)) * 4000]
+
+
+def test_parts_are_ordinary_entries(spark, parted):
+    made = spark.read.parquet(f"{parted}/parts")
+    bad = made.where("err is not null").collect()
+    assert [(r.entry_ix, r.name, r.err.code) for r in bad] == [(2, "none", "READ_FAILED")]
+    sizes = [len(r.sealed) - 28 for r in made.where("entry_ix = 3 and block_ix is not null").orderBy("block_ix").collect()]
+    assert sum(sizes) == 1_024_000 and all(57_344 <= n <= 73_728 for n in sizes[:-1]) and len(set(sizes)) > 2
+    assert made.where("sealed is not null").selectExpr("substr(sealed, 1, 12) as n").distinct().count() == len(sizes) + 1
+    rows = unseal.unseal(container.read_archives(spark, f"file://{parted}/out"), PASSWORD, 10).orderBy("entry_ix").collect()
+    assert [bytes(r.content) for r in rows] == CONTENTS and [r.filename for r in rows] == ["empty", "short", "long"]
+    assert container.verify_archives(spark, f"file://{parted}/out").first().digest_ok
+    assert container.read_headers(spark, f"file://{parted}/out").first().err is None
+
+
+@pytest.mark.parametrize("split", [1, 100_000, 1 << 30])
+def test_open_parts(spark, parted, tmp_path, split):
+    read = large.read_parts(spark, f"{parted}/out", split_bytes=split)
+    for to in (None, f"file://{tmp_path}/uri", f"{tmp_path}/plain"):
+        rows = large.open_parts(read, PASSWORD, 10, to).orderBy("entry_ix").collect()
+        assert [(r.filename, r.size, r.sha256, r.ok, r.err) for r in rows] == [(n, len(c), hashlib.sha256(c).hexdigest(), True, None) for n, c in zip(("empty", "short", "long"), CONTENTS, strict=True)]
+        if to:
+            assert {n: (tmp_path / to.rpartition("/")[2] / n).read_bytes() for n in storage.names(to)} == dict(zip(("empty", "short", "long"), CONTENTS, strict=True))
+
+
+def test_parts_of_entries(spark, folder):
+    """Entries that are whole rows, as parts: opened alike."""
+    rows = large.open_parts(large.parts(container.read_archives(spark, folder)), PASSWORD, 10).orderBy("entry_ix").collect()
+    assert [r.size for r in rows] == [0, 500, 200_000] and all(r.ok for r in rows)
+    assert [r.filename for r in unseal.listing(large.read_heads(spark, folder), PASSWORD, 10).orderBy("entry_ix").collect()] == ["dir/file0", "dir/file1", "dir/file2"]
+
+
+def test_damage_to_parts_is_told_as_for_entries(spark, folder, tmp_path):
+    changes = [lambda r: r[:200] + bytes([r[200] ^ 1]) + r[201:], lambda r: r[:-5000], lambda r: r[:-100_000], lambda r: r[:-9000] + b"\0" + r[-8999:], lambda r: r[:130], lambda r: r[:120]]
+    for change in changes:
+        bad = damaged(folder, tmp_path, change)
+        whole = [(r.entry_ix, r.ok, r.err) for r in unseal.unseal(container.read_archives(spark, bad), PASSWORD, 10).orderBy("entry_ix").collect()]
+        assert [(r.entry_ix, r.ok, r.err) for r in large.open_parts(large.read_parts(spark, bad), PASSWORD, 10, f"{tmp_path}/out").orderBy("entry_ix").collect()] == whole
+        assert not any(n.endswith(".part") for n in storage.names(f"{tmp_path}/out"))
+
+
+def test_lost_and_swapped_blocks(spark, parted):
+    made = spark.read.parquet(f"{parted}/parts").where("entry_ix = 3")
+    for change in ("case when block_ix = 2 then 3 when block_ix = 3 then 2 else block_ix end", "case when block_ix <> 4 then block_ix end"):
+        kept = made.where("block_ix is null").unionByName(made.where("block_ix is not null").withColumn("block_ix", F.expr(change)).where("block_ix is not null"))
+        assert large.open_parts(kept, PASSWORD, 10).first().err.code == "INTEGRITY_FAIL"
+    wrong = large.open_parts(made, "wrongpassword", 10).first()
+    assert wrong.err.code == "AUTH_FAILED" and wrong.filename is None
+
+
+def test_parts_that_cannot_be_written(spark, parted, tmp_path):
+    (tmp_path / "file").write_bytes(b"")
+    (tmp_path / "out/long").mkdir(parents=True)
+    read = large.read_parts(spark, f"{parted}/out")
+    assert {r.err.code for r in large.open_parts(read, PASSWORD, 10, f"{tmp_path}/file").collect()} == {"WRITE_FAILED"}
+    assert [r.ok for r in large.open_parts(read, PASSWORD, 10, f"{tmp_path}/out").orderBy("entry_ix").collect()] == [True, True, False]
+    assert sorted(os.listdir(tmp_path / "out")) == ["empty", "long", "short"]
+
+
+def test_plans_of_parts(spark, parted):
+    """What is shuffled is sealed, and no plan holds the password."""
+    plan = large.open_parts(large.read_parts(spark, f"{parted}/out"), PASSWORD, 10)._jdf.queryExecution().toString()
+    above, _, below = plan.split("== Physical Plan ==")[1].partition("Exchange")
+    assert PASSWORD not in plan and "derive_all" in above and "derive_all" not in below
+
+
+def test_storage(tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    for base in (str(tmp_path), f"file://{tmp_path}"):
+        assert storage.size(f"{base}/a") == 3 and storage.names(base) == ["a"] and storage.is_folder(base)
+        for gone in (f"{base}/none", base):
+            with pytest.raises(OSError):
+                storage.about(gone)
+        storage.remove(f"{base}/none")
+        storage.remove_folder(f"{base}/none")
+    with pytest.raises(OSError):
+        storage.reading("nothing://of/this")
