@@ -35,7 +35,7 @@ def archive(spark: SparkSession, given: argparse.Namespace) -> None:
     folder, _, name = (given.output if "://" in given.output else os.path.abspath(given.output)).rpartition("/")
     work = f"{folder}/.{name}-{uuid.uuid4().hex}"
     try:
-        parts = large.kept(large.seal_files(spark, given.files, given.password, given.iterations), f"{work}/parts")
+        parts = seal.kept(large.seal_files(spark, given.files, given.password, given.iterations), f"{work}/parts")
         for row in parts.where("err is not null").orderBy("entry_ix").toLocalIterator():
             log("ERROR", "file failed", name=row.name, err=f"[{row.err.code}] {row.err.message}")
         good = large.heads(parts)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, secrets
 from . import chunk
 
+#: Bytes of a row group of what is kept: a reader holds up to a group's rows at once, and rows are large.
+GROUP_BYTES = 16 << 20
 FILE_COLUMNS = ("archive_id", "entry_ix", "name", "content", "mtime", "mode")
 
 
@@ -30,7 +32,7 @@ def as_files(df: DataFrame, name: str | Column, content: str | Column, mtime: Co
 
 def seal(files: DataFrame, password: str, iterations: int = secrets.ITERATIONS, variance: int = secrets.VARIANCE, spread: int | None = None, seed: int | None = None) -> DataFrame:
     """Seal every file: AES-256-GCM under a key of its own, in blocks of varying length, with an HMAC over the
-    whole content. Write the result before using it more than once: it is random each time it is computed.
+    whole content. Write the result (``kept``) before using it more than once: it is random each time it is computed.
 
     ``spread`` deals the files over so many partitions before keys are derived (a small table is one
     partition, and deriving is slow by design). Null content counts as empty, null names as ''.
@@ -63,6 +65,12 @@ def seal(files: DataFrame, password: str, iterations: int = secrets.ITERATIONS,
     )
 
 
+def kept(made: DataFrame, at: str) -> DataFrame:
+    """What was sealed, written to the folder ``at`` in row groups that readers of little memory can hold, and read from there."""
+    made.write.option("parquet.block.size", GROUP_BYTES).parquet(at)
+    return made.sparkSession.read.parquet(at)
+
+
 def archives(entries: DataFrame, password: str, iterations: int = secrets.ITERATIONS, seed: int | None = None) -> DataFrame:
     """One row per archive of written ``entries``: salt, and the number of entries sealed under the archive's key."""
     counted = entries.groupBy("archive_id").agg(F.count(F.lit(1)).alias("files"))

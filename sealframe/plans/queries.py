@@ -84,9 +84,7 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, entries: DataFrame, name: str) -> DataFrame:
     """Sealed entries, materialised: they are random each time they are computed."""
-    at = _folder(spark, name)
-    entries.write.parquet(at)
-    return spark.read.parquet(at)
+    return seal.kept(entries, _folder(spark, name))
 
 
 def _flip(data: Column, byte: int) -> Column:
@@ -576,7 +574,7 @@ def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark, "large")
     rows = _volumes(spark, sf_dir).select("archive_id", "entry_ix", F.col("name").alias("filename"), F.octet_length("content").cast("bigint").alias("size"), F.lit(True).alias("ok"), F.lit(None).cast(unseal.ERROR_TYPE).alias("err"), "content", "mode")
     names = [r.filename for r in files.write_files(rows, f"{at}/files").collect()]  # the paths to read: a list on the driver by nature
-    parts = large.kept(large.seal_files(spark, [f"{at}/files/{n}" for n in names], PASSWORD, LIGHT), f"{at}/parts")
+    parts = seal.kept(large.seal_files(spark, [f"{at}/files/{n}" for n in names], PASSWORD, LIGHT), f"{at}/parts")
     heads = _written(spark, seal.archives(large.heads(parts), PASSWORD, LIGHT), "archives")
     large.write_archives(parts, heads, f"{at}/out")
     opened = large.open_parts(large.read_parts(spark, f"{at}/out", split_bytes=1 << 20), PASSWORD, LIGHT)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import codec
 from ..operators import chunk
@@ -168,14 +168,14 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Rows (archive_id, body), an archive's rows together and in order."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         storage.make_folder(self.path)
         files: list[tuple[str, str]] = []
         current, file, digest = None, None, None
@@ -185,17 +185,19 @@ class Writer(DataSourceWriter):
                 file.write(digest.digest() + bytes(codec.RESERVED_BYTES))
                 file.close()
 
-        for row in iterator:
-            if row.archive_id != current:
-                close()
-                if not row.body.startswith(codec.MAGIC):
-                    raise ValueError(f"entries of {row.archive_id}, which is not among the archives")
-                current = row.archive_id
-                target = storage.join(self.path, f"{current}{SUFFIX}")
-                files.append((storage.join(self.path, f".{current}-{self.job}-{uuid.uuid4().hex}"), target))
-                file, digest = storage.writing(files[-1][0]), hashlib.sha256()
-            file.write(row.body)
-            digest.update(row.body)
+        for batch in iterator:
+            # Bodies are written from Arrow's memory, not copied.
+            for whose, body in zip(batch.column(0).to_pylist(), (x.as_buffer() for x in batch.column(1)), strict=True):
+                if whose != current:
+                    close()
+                    if body.slice(0, len(codec.MAGIC)).to_pybytes() != codec.MAGIC:
+                        raise ValueError(f"entries of {whose}, which is not among the archives")
+                    current = whose
+                    target = storage.join(self.path, f"{current}{SUFFIX}")
+                    files.append((storage.join(self.path, f".{current}-{self.job}-{uuid.uuid4().hex}"), target))
+                    file, digest = storage.writing(files[-1][0]), hashlib.sha256()
+                file.write(body)
+                digest.update(body)
         close()
         return Written(files)
 

@@ -27,8 +27,6 @@ from . import container, storage
 
 #: Bytes of blocks handed on at once.
 HANDED_BYTES = 4 << 20
-#: Bytes of a row group of kept parts: a reader holds up to a group's rows at once.
-GROUP_BYTES = 16 << 20
 ERROR = pa.struct([("kind", pa.string()), ("code", pa.string()), ("message", pa.string())])
 _HEAD = ("frame_header", "meta_sealed", "interblock_pad", "trailer_pad", "hmac_sealed", "entry_checksum")
 PARTS = "archive_id string, entry_ix bigint, entry_salt binary, block_ix bigint, sealed binary, blocks bigint, " + ", ".join(f"{c} binary" for c in _HEAD)
@@ -45,7 +43,7 @@ def seal_files(spark: SparkSession, paths: list[str], password: str, iterations:
     """The parts of every file in ``paths`` (paths or URIs), with columns ``name``, ``size`` (of heads) and ``err``: a file that
     cannot be opened has one row, with READ_FAILED. One that breaks off while it is read fails its task, which is tried again.
 
-    Write the result before using it (``kept``): it is random each time it is computed.
+    Write the result before using it (``operators.seal.kept``): it is random each time it is computed.
     """
     secrets.check_password(password)
     if not paths:
@@ -114,12 +112,6 @@ def seal_files(spark: SparkSession, paths: list[str], password: str, iterations:
     )
 
 
-def kept(made: DataFrame, at: str) -> DataFrame:
-    """The parts ``made``, written to the folder ``at`` in row groups that readers of little memory can hold."""
-    made.write.option("parquet.block.size", GROUP_BYTES).parquet(at)
-    return made.sparkSession.read.parquet(at)
-
-
 def parts(entries: DataFrame) -> DataFrame:
     """The parts of ``entries`` as ``operators.seal`` makes them."""
     empty = {"block_ix": "bigint", "sealed": "binary", "blocks": "bigint"} | dict.fromkeys(_HEAD, "binary")

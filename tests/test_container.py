@@ -157,7 +157,7 @@ def parted(spark, tmp_path_factory):
     (at / "long").write_bytes(bytes(range(256)) * 4000)
     (at / "short").chmod(0o600)
     uris = [f"file://{at}/{n}" for n in ("empty", "short", "none", "long")]
-    made = large.kept(large.seal_files(spark, uris, PASSWORD, 10), f"{at}/parts")
+    made = seal.kept(large.seal_files(spark, uris, PASSWORD, 10), f"{at}/parts")
     seal.archives(large.heads(made), PASSWORD, 10).write.parquet(f"{at}/archives")
     large.write_archives(made, spark.read.parquet(f"{at}/archives"), f"file://{at}/out")
     return at
