@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import secrets
 from .operators import seal, unseal
-from .plans.metrics import report
+from .plans.metrics import Progress, report
 from .sources import container, large, storage
 
 
@@ -29,13 +29,18 @@ def log(level: str, message: str, **more: object) -> None:
     print(json.dumps({"level": level, "msg": message, **more}), file=sys.stderr)
 
 
+def told(files: int, size: int, errors: int) -> None:
+    log("INFO", "progress", files=files, bytes=size, errors=errors)
+
+
 def archive(spark: SparkSession, given: argparse.Namespace) -> None:
     secrets.check_password(given.password)
     began = time.time()
     folder, _, name = (given.output if "://" in given.output else os.path.abspath(given.output)).rpartition("/")
     work = f"{folder}/.{name}-{uuid.uuid4().hex}"
     try:
-        parts = seal.kept(large.seal_files(spark, given.files, given.password, given.iterations), f"{work}/parts")
+        with Progress(spark, told) as progress:
+            parts = seal.kept(large.seal_files(spark, given.files, given.password, given.iterations, progress=progress), f"{work}/parts")
         for row in parts.where("err is not null").orderBy("entry_ix").toLocalIterator():
             log("ERROR", "file failed", name=row.name, err=f"[{row.err.code}] {row.err.message}")
         good = large.heads(parts)
@@ -57,9 +62,11 @@ def archive(spark: SparkSession, given: argparse.Namespace) -> None:
 
 
 def extract(spark: SparkSession, given: argparse.Namespace) -> None:
-    opened = large.open_parts(large.read_parts(spark, given.archive), given.password, given.iterations, folder=given.output)
     ok = failed = 0
-    for row in opened.orderBy("entry_ix").toLocalIterator():
+    with Progress(spark, told) as progress:
+        opened = large.open_parts(large.read_parts(spark, given.archive), given.password, given.iterations, folder=given.output, progress=progress)
+        rows = opened.collect()  # one an entry, without content: what is printed; a sort would open all twice
+    for row in sorted(rows, key=lambda r: r.entry_ix):
         ok, failed = ok + row.ok, failed + (not row.ok)
         if not row.ok:
             print(f"  ERROR {row.filename or ''}: [{row.err.code}] {row.err.message}")

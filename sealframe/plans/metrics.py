@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import threading
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -16,6 +19,49 @@ def counted(results: DataFrame, name: str = "progress", size: str = "size", ok:
     return watched, seen
 
 
+class Progress:
+    """Files, bytes and errors so far, told to ``tell`` while jobs run (every ``every`` seconds, if they changed) and at the end.
+
+    Tasks count with ``seen``, and a task's counts arrive when it ends; one that is run again may count twice, so these
+    figures are for watching only. Use as a context manager around the action.
+    """
+
+    def __init__(self, spark: SparkSession, tell: Callable[[int, int, int], None], every: float = 1.0):
+        context = spark.sparkContext
+        self.counts = [context.accumulator(0) for _ in range(3)]
+        self.tell, self.every, self.told, self.ended = tell, every, None, threading.Event()
+        self.watch = threading.Thread(target=self._watch, daemon=True)
+
+    def __getstate__(self) -> dict:
+        return {"counts": self.counts}  # all that tasks need
+
+    def seen(self, files: int, size: int, errors: int = 0) -> None:
+        for count, more in zip(self.counts, (files, size, errors), strict=True):
+            count.add(more)
+
+    def now(self) -> tuple[int, int, int]:
+        files, size, errors = (c.value for c in self.counts)
+        return files, size, errors
+
+    def _tell(self) -> None:
+        if (found := self.now()) != self.told:
+            self.told = found
+            self.tell(*found)
+
+    def _watch(self) -> None:
+        while not self.ended.wait(self.every):
+            self._tell()
+
+    def __enter__(self) -> Progress:
+        self.watch.start()
+        return self
+
+    def __exit__(self, *problem: object) -> None:
+        self.ended.set()
+        self.watch.join()
+        self._tell()
+
+
 def totals(files: DataFrame, *by: str) -> DataFrame:
     """Files and bytes."""
     size = F.octet_length("content")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, secrets
 from ..operators import chunk, unseal
 from ..operators.unseal import RECOVERABLE
+from ..plans.metrics import Progress
 from . import container, storage
 
 #: Bytes of blocks handed on at once.
@@ -39,7 +40,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def seal_files(spark: SparkSession, paths: list[str], password: str, iterations: int = secrets.ITERATIONS, variance: int = secrets.VARIANCE, archive_id: str = "archive", slices: int | None = None) -> DataFrame:
+def seal_files(spark: SparkSession, paths: list[str], password: str, iterations: int = secrets.ITERATIONS, variance: int = secrets.VARIANCE, archive_id: str = "archive", slices: int | None = None, progress: Progress | None = None) -> DataFrame:
     """The parts of every file in ``paths`` (paths or URIs), with columns ``name``, ``size`` (of heads) and ``err``: a file that
     cannot be opened has one row, with READ_FAILED. One that breaks off while it is read fails its task, which is tried again.
 
@@ -79,6 +80,9 @@ def seal_files(spark: SparkSession, paths: list[str], password: str, iterations:
                 for row in of_file(ix, path):
                     rows.append(row)
                     held += len(row[5] or b"")
+                    if progress is not None:
+                        whole = row[4] is None
+                        progress.seen(int(whole and row[-1] is None), len(row[5] or b""), int(whole and row[-1] is not None))
                     if held > HANDED_BYTES:
                         yield _batch(rows, names, types)
                         rows, held = [], 0
@@ -244,7 +248,7 @@ def _head(cursor: container.Cursor, split_bytes: int) -> tuple[list, list[tuple[
     return fields, ranges
 
 
-def open_parts(made: DataFrame, password: str, iterations: int = secrets.ITERATIONS, folder: str | None = None) -> DataFrame:
+def open_parts(made: DataFrame, password: str, iterations: int = secrets.ITERATIONS, folder: str | None = None, progress: Progress | None = None) -> DataFrame:
     """Open every entry of the parts ``made`` and, if ``folder`` is given, write it there under the last component of its name.
 
     Per entry archive_id, entry_ix, filename, size, mode, sha256 (of the content), ok and err, with the outcomes of
@@ -266,19 +270,26 @@ def open_parts(made: DataFrame, password: str, iterations: int = secrets.ITERATI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry = None
+
+        def result(of: _Opening) -> tuple:
+            row = of.result()
+            if progress is not None:
+                progress.seen(int(row[6]), row[3] or 0, int(not row[6]))
+            return row
+
         for batch in batches:
             done = []
             plains = (x.as_buffer() if x.is_valid else None for x in batch.column(9))  # not copied
             for whose, ix, number, filename, mode, expected, own, early, late, plain in zip(*(c.to_pylist() for c in batch.columns[:9]), plains, strict=True):
                 if number == -1:
                     if entry is not None:
-                        done.append(entry.result())
+                        done.append(result(entry))
                     entry = _Opening(whose, ix, filename, mode, expected, own, early, late, folder)
                 elif entry is not None and entry.whose == (whose, ix):
                     entry.add(plain)
             yield _batch(done, names, types)
         if entry is not None:
-            yield _batch([entry.result()], names, types)
+            yield _batch([result(entry)], names, types)
 
     return rows.mapInArrow(run, "archive_id string, entry_ix bigint, filename string, size bigint, mode bigint, sha256 string, ok boolean, err " + unseal.ERROR_TYPE)
 

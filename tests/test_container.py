@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sealframe import cli
 from sealframe.functions import codec, secrets
 from sealframe.operators import seal, unseal
+from sealframe.plans import metrics
 from sealframe.sources import container, files, large, storage
 from sealframe.streaming import seal_stream
 from tests.test_seal import PASSWORD, file_rows
@@ -241,3 +242,14 @@ def test_storage(tmp_path):
         storage.remove_folder(f"{base}/none")
     with pytest.raises(OSError):
         storage.reading("nothing://of/this")
+
+
+def test_progress(spark, parted, tmp_path):
+    """Told while the job runs and at its end: files, bytes and errors, of sealing and of opening."""
+    told = []
+    with metrics.Progress(spark, lambda *now: told.append(now), every=0.05) as progress:
+        large.seal_files(spark, [f"{parted}/{n}" for n in ("empty", "short", "none", "long")], PASSWORD, 10, slices=4, progress=progress).write.format("noop").mode("overwrite").save()
+    assert told[-1] == progress.now() == (3, 1_024_005, 1) and told == sorted(told)
+    with metrics.Progress(spark, lambda *now: told.append(now)) as progress:
+        large.open_parts(large.read_parts(spark, f"{parted}/out"), PASSWORD, 10, progress=progress).collect()
+    assert told[-1] == (3, 1_024_005, 0)
