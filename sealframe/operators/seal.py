@@ -66,8 +66,9 @@ def seal(files: DataFrame, password: str, iterations: int = secrets.ITERATIONS,
 
 
 def kept(made: DataFrame, at: str) -> DataFrame:
-    """What was sealed, written to the folder ``at`` in row groups that readers of little memory can hold, and read from there."""
-    made.write.option("parquet.block.size", GROUP_BYTES).parquet(at)
+    """What was sealed, written to the folder ``at`` in row groups that readers of little memory can hold, and read from there.
+    It is not compressed or put in dictionaries, as sealed bytes are random."""
+    made.write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.enable.dictionary": "false", "compression": "none"}).parquet(at)
     return made.sparkSession.read.parquet(at)
 
 
