@@ -1,35 +1,95 @@
-"""Bounded samples of labelled rows, and small models fitted on them."""
+"""Labelled rows, all of them in passes or a bounded sample, and small models fitted on them."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SCAN_CHARS, bound_batches, held_out, slices, texts_of
 
+#: A pass over all labelled rows has at most so many tasks, each with one result for the driver.
+PASS_TASKS = 64
+#: Features and whether the label is 1, of some rows.
+Part = tuple[np.ndarray, np.ndarray]
+#: Applies a function to the parts of each task's rows, and returns what it made, in the order of tasks.
+Passes = Callable[[Callable[[Iterator[Part]], Any]], list]
 
-def sample(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], np.ndarray], rows: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents, the first by a hash of their id.
 
-    Only labels of rows that are not held out are read. Rows without id or label, and ids with
-    labels that differ, are left out; of repeated documents with one id the features' smallest
-    in order is taken, so the sample doesn't depend on the order of rows.
-    """
-    bound_batches(docs.sparkSession)
-    known = (
+def known_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """One label for each id that is not held out. Rows without id or label, and ids with labels that differ, are left out."""
+    return (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most"))
         .where("label = most")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
         .select("doc_id", "label")
     )
+
+
+@contextmanager
+def passes(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], np.ndarray], label: str = "quality") -> Iterator[Passes]:
+    """Passes over the features and labels of all labelled documents that are not held out.
+
+    Features are made once, before labels are known, so that they and no texts are shuffled, and kept on the
+    executors' disks. Of repeated documents with one id the features' smallest in order is taken.
+    """
+    bound_batches(docs.sparkSession)
+    read = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in slices(texts, SCAN_CHARS):
+                made = [x.astype("<f8").tobytes() for x in features(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made, pa.binary())], ["doc_id", "features"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = [b"".join(batch.column(0).to_pylist()), np.array(batch.column(1).to_pylist(), bool).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made], ["features", "good"])
+
+    measured = read.mapInArrow(measure, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, features binary")
+    one_each = measured.groupBy("doc_id").agg(F.min("features").alias("features"))
+    told = one_each.join(known_labels(labels, label), "doc_id").select("features", (F.col("label") == 1).alias("good"))
+    kept = told.mapInArrow(pack, "features binary, good binary").persist(StorageLevel.DISK_ONLY)
+
+    def over(work: Callable[[Iterator[Part]], Any]) -> list:
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+            for batch in batches:
+                for x, good in zip(batch.column(0), batch.column(1), strict=True):
+                    told = np.frombuffer(good.as_buffer(), bool)
+                    yield np.frombuffer(x.as_buffer(), "<f8").reshape(len(told), -1), told
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(parts(batches)))], pa.binary())], ["made"])
+
+        return [pickle.loads(r.made) for r in kept.coalesce(PASS_TASKS).mapInArrow(run, "made binary").collect()]
+
+    try:
+        yield over
+    finally:
+        kept.unpersist()
+
+
+def sample(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], np.ndarray], rows: int, label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``rows`` labelled documents, the first by a hash of their id.
+
+    Only labels of rows that are not held out are read. Rows without id or label, and ids with
+    labels that differ, are left out; of repeated documents with one id the features' smallest
+    in order is taken, so the sample doesn't depend on the order of rows.
+    """
+    bound_batches(docs.sparkSession)
+    known = known_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most ``rows`` pairs of an id and a label: small by the limit above.
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
 

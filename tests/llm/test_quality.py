@@ -176,6 +176,71 @@ def test_ranker_orders_pairs():
     assert score.min() >= 0 and score.max() <= 1
 
 
+def steepest(model, x, good):
+    """The steepest slope of the loss of all pairs, every pair listed."""
+    z = model._scaled(x)
+    at = z @ model.weights
+    lost = 1 / (1 + np.exp(at[good][:, None] - at[~good][None, :]))
+    return np.abs((lost.sum(0) @ z[~good] - lost.sum(1) @ z[good]) / lost.size + quality_ranker.PENALTY * model.weights).max()
+
+
+def noisy(n=700, share=0.3):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (n, 6)) * [1, 10, 0.01, 1, 1, 0] + [0, 5, 0, 0, 0, 0.3]
+    at = x @ [2, 0.1, 50, -1, 0, 0] + rng.normal(0, 1, n)
+    return x, at > np.quantile(at, 1 - share)
+
+
+def test_ranker_against_all_pairs():
+    x, good = noisy()
+    model = quality_ranker.Ranker(x, good.astype(int))
+    assert steepest(model, x, good) < 1e-9
+    at = model._raw(x)
+    loss, slope, _ = model._at(lambda work: [work(iter([(x, good)]))], model.weights / 2, good.sum() * (~good).sum())
+    half = at / 2
+    want = np.logaddexp(0, half[~good][None, :] - half[good][:, None]).mean() + quality_ranker.PENALTY / 8 * (model.weights @ model.weights)
+    assert loss == pytest.approx(want, abs=1e-11) and np.abs(slope).max() > 1e-4
+    assert model.threshold == np.quantile(at, (~good).mean()) and model.spread == pytest.approx(at.std())
+
+
+def test_ranker_in_parts():
+    """Parts of one label or one row, tasks without rows, and equal rows at the threshold."""
+    x, good = noisy(200)
+    x, good = np.concatenate([x, np.repeat(x[:1], 90, 0)]), np.append(good, np.arange(90) % 2 == 0)
+    whole = quality_ranker.Ranker(x, good.astype(int))
+    order = np.argsort(good, kind="stable")
+    tasks = [[], [order[:150]], [], [order[i : i + 1] for i in range(150, 290)]]
+    model = quality_ranker.Ranker.over(lambda work: [work((x[i], good[i]) for i in task) for task in tasks])
+    assert model.score(x) == pytest.approx(whole.score(x), abs=1e-7)
+    assert model.threshold == np.quantile(model._raw(x), (~good).mean())
+
+
+def test_ranker_learns_from_every_labelled_row(spark):
+    """More labelled rows than the sample of 8,000 that was once drawn, few of them bad."""
+    rng = np.random.default_rng(4)
+    words = np.array(["Alpha", "beta,", "12", "of", "$$", "the.", "b#", "!"])
+    of = [rng.choice(words, rng.integers(2, 12), p=[0.1, 0.2, 0.1, 0.3, 0.05, 0.2, 0.03, 0.02] if i % 20 else [0.1, 0.1, 0.1, 0.2, 0.2, 0.1, 0.1, 0.1]) for i in range(11_500)]
+    texts = [" ".join(x) for x in of]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    told = [(i, int(i % 20 > 0)) for i in range(11_500)]
+    model = quality_ranker.fit(docs, spark.createDataFrame(told, "doc_id bigint, quality int"))
+    learnt = [i for i, _ in told if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learnt) > 8000
+    x, good = quality_ranker.features([texts[i] for i in learnt]), np.array([told[i][1] == 1 for i in learnt])
+    assert model.mean == pytest.approx(x.mean(0), rel=1e-12) and model.scale == pytest.approx(x.std(0) + 1e-6, rel=1e-9)
+    assert steepest(model, x, good) < 1e-9
+    assert model.threshold == np.quantile(model._raw(x), (~good).mean())
+
+
+def test_ranker_does_not_read_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - quality else quality end as quality")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    one, two = (quality_ranker.fit(docs, x) for x in (labels, turned))
+    assert one.weights == pytest.approx(two.weights, abs=1e-7) and one.threshold == pytest.approx(two.threshold, abs=1e-7)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
 def test_regression_is_calibrated():
     batch, label = made()
     flipped = np.where(np.random.default_rng(2).random(len(label)) < 0.2, 1 - label, label)
