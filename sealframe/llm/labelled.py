@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import SCAN_CHARS, bound_batches, held_out, slices, texts_of
 
-#: A pass over all labelled rows has at most so many tasks, each with one result for the driver.
-PASS_TASKS = 64
+#: A pass over all labelled rows has a task for so many rows, but no more tasks than that, each with one result for the driver.
+PASS_ROWS, PASS_TASKS = 5000, 64
+#: Rows of one part that a pass works on.
+PART_ROWS = 500
 #: Features and whether the label is 1, of some rows.
 Part = tuple[np.ndarray, np.ndarray]
 #: Applies a function to the parts of each task's rows, and returns what it made, in the order of tasks.
@@ -61,22 +62,20 @@ def passes(docs: DataFrame, labels: DataFrame, features: Callable[[list[str]], n
     measured = read.mapInArrow(measure, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, features binary")
     one_each = measured.groupBy("doc_id").agg(F.min("features").alias("features"))
     told = one_each.join(known_labels(labels, label), "doc_id").select("features", (F.col("label") == 1).alias("good"))
-    kept = told.mapInArrow(pack, "features binary, good binary").persist(StorageLevel.DISK_ONLY)
+    # Passes are plain jobs: a plan for each would fill the driver.
+    kept = told.mapInArrow(pack, "features binary, good binary").rdd.map(tuple).persist(StorageLevel.DISK_ONLY)
 
-    def over(work: Callable[[Iterator[Part]], Any]) -> list:
-        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-            for batch in batches:
-                for x, good in zip(batch.column(0), batch.column(1), strict=True):
-                    told = np.frombuffer(good.as_buffer(), bool)
-                    yield np.frombuffer(x.as_buffer(), "<f8").reshape(len(told), -1), told
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(parts(batches)))], pa.binary())], ["made"])
-
-        return [pickle.loads(r.made) for r in kept.coalesce(PASS_TASKS).mapInArrow(run, "made binary").collect()]
+    def parts(packed: Iterator[tuple[bytes, bytes]]) -> Iterator[Part]:
+        for x, good in packed:
+            told = np.frombuffer(good, bool)
+            of = np.frombuffer(x, "<f8").reshape(len(told), -1)
+            for a in range(0, len(told), PART_ROWS):
+                yield of[a : a + PART_ROWS], told[a : a + PART_ROWS]
 
     try:
-        yield over
+        rows = kept.map(lambda r: len(r[1])).sum()
+        few = kept.coalesce(max(1, min(PASS_TASKS, rows // PASS_ROWS)))
+        yield lambda work: few.mapPartitions(lambda packed: [work(parts(packed))]).collect()
     finally:
         kept.unpersist()
 
